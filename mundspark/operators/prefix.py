@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mundspark.runtime import staged
+
 BUCKETS = 4096
 
 
@@ -19,32 +21,28 @@ def uniform(*cols: Column | str, seed: int = 0) -> Column:
 
 def running_before(df: DataFrame, group: list[str], order: str, tie: str, size: str, out: str) -> DataFrame:
     """df with the sum of `size` over the rows of the same group that come before a row by (order, tie); order is a
-    value in [0, 1)."""
+    value in [0, 1), the group columns are never NULL."""
     b = df.withColumn("_b", F.least(F.floor(F.col(order) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     sums = b.groupBy(*group, "_b").agg(F.sum(size).alias("_s"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "_b", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
     inner = Window.partitionBy(*group, "_b").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_in", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    on = None
-    for g in [*group, "_b"]:
-        c = b[g].eqNullSafe(sums[g])
-        on = c if on is None else on & c
-    keep = [b[c] for c in df.columns]
-    return b.join(sums, on, "inner").select(*keep, (b["_in"] + sums["_before"]).alias(out))
+    return b.join(sums, [*group, "_b"]).select(*df.columns, (F.col("_in") + F.col("_before")).alias(out))
 
 
 def first_n(df: DataFrame, group: list[str], order: str, tie: str, quota: DataFrame, n: str) -> DataFrame:
     """The first quota.n rows of each group by (order, tie). quota: one row a group, with the group columns (no NULL)
     and n. A group without a quota gives no rows; one with fewer rows than n gives them all."""
     b = df.withColumn("_b", F.least(F.floor(F.col(order) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    counts = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(quota, group)
-    # how many rows of the bucket to take: all, none, or so many on the boundary
-    plan = counts.select(*group, "_b", F.least(F.col("_c"), F.greatest(F.col(n) - F.col("_before"), F.lit(0))).alias("_take"), "_c").where("_take > 0")
-    j = b.join(plan, [*group, "_b"])
-    whole = j.where("_take = _c").select(*df.columns)
+    counts = b.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0))).join(quota.select(*group, n), group)
+    # the boundary bucket of each group and how many rows of it belong to the first n; buckets below it do wholly
+    partial = (F.col("_before") < F.col(n)) & (F.col("_before") + F.col("_c") > F.col(n))
+    cut = F.coalesce(F.min(F.when(F.col("_before") + F.col("_c") > F.col(n), F.col("_b"))), F.lit(BUCKETS))
+    plan = counts.groupBy(*group).agg(cut.alias("_cut"), F.coalesce(F.max(F.when(partial, F.col(n) - F.col("_before"))), F.lit(0)).alias("_rest"))
+    j = b.join(staged(plan, "quota"), group).where("_b < _cut or (_b = _cut and _rest > 0)")
     rank = Window.partitionBy(*group, "_b").orderBy(order, tie)
-    part = j.where("_take < _c").withColumn("_r", F.row_number().over(rank)).where("_r <= _take").select(*df.columns)
-    return whole.unionByName(part)
+    edge = j.where("_b = _cut").withColumn("_r", F.row_number().over(rank)).where("_r <= _rest")
+    return j.where("_b < _cut").select(*df.columns).unionByName(edge.select(*df.columns))
