@@ -1,0 +1,66 @@
+"""Cleaning of one transcript segment: time marks, speaker labels, sound notes, hesitation sounds."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from mundspark.functions.text import fold
+
+_OPEN, _CLOSE = r"[\[(<{]", r"[\])>}]"
+_CLOCK = r"\d{1,3}(?::\d{2}){1,2}(?:[.,]\d{1,3})?"
+#: Time marks: any clock in brackets; outside them only with hours, minutes and seconds.
+_TIME = re.compile(rf"{_OPEN}\s*{_CLOCK}\s*(?:-+>?\s*{_CLOCK}\s*)?{_CLOSE}|(?<![\d:.,])\d{{1,3}}:\d{{2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:])")
+_NAME = r"(?:speaker(?:in)?|sprecher(?:in)?|spk|spkr)"
+#: A label at the head of a text: in brackets, or followed by a colon or a dash.
+_HEAD = re.compile(rf"^\W*(?:{_OPEN}\s*{_NAME}[\s_.\-]*0*(\d{{1,6}})\s*{_CLOSE}\s*:?|{_NAME}[\s_.\-]*0*(\d{{1,6}})\s*(?::|[–—-](?=\s|$))|s[\s_.\-]?0*(\d{{1,6}})\s*:)", re.I)
+_LABEL = re.compile(rf"^\W*(?:{_NAME}|s)?[\s_.\-]*0*(\d{{1,6}})\W*$", re.I)
+#: Sound notes: short bracketed or starred remarks without the end of a sentence, and sound words between dashes.
+_NOTE = re.compile(r"\[([^\[\]]{0,80})\]|\(([^()]{0,80})\)|\{([^{}]{0,80})\}|<([^<>]{0,80})>|\*([^*\n]{1,80})\*")
+_NOTE_WORDS = 4
+_SOUND = re.compile(r"(?:(?<=\s)|^)[–—-]\s*(?:musik|applaus|jingle|pause|geräusch|gelächter|husten|lachen|rauschen|stille|music|applause|laughter)\s*[–—-](?=\s|$)", re.I)
+#: Hesitation sounds: äh, ähm, öh, öhm, ehm, uhm, hm, mhm with any of their letters drawn out.
+_HESITATION = re.compile(r"(?<!\w)(?:ä+h+m*|ä+m+|ö+h+m*|e+h+m+|u+h+m+|h+m+|m+h+m+)(?!\w)(?:…|\.\.\.|,)?", re.I)
+_TIDY = (
+    (re.compile(r"[♪♫♬]+"), " "),
+    (re.compile(r"[–—-](?:\s*[,;]?\s*[–—-])+"), " "),  # what is left of an inserted remark
+    (re.compile(r"\s+"), " "),
+    (re.compile(r"\s+([,.;:!?…])"), r"\1"),
+    (re.compile(r"([,;:])(?:\s*[,;:])+"), r"\1"),
+    (re.compile(r"[,;](?=[.!?…])"), ""),
+    (re.compile(r"^[\s,.;:!?…–—♪*>-]+|[\s♪*]+$"), ""),
+)
+
+
+def label_number(speaker: str | None) -> int | None:
+    """Number of a speaker label in any spelling; None for an absent or unknown speaker."""
+    m = _LABEL.match(speaker) if speaker else None
+    return int(m[1]) if m else None
+
+
+def _drop_note(m: re.Match) -> str:
+    inside = next(g for g in m.groups() if g is not None)
+    return m[0] if re.search(r"[.!?…]", inside) or len(inside.split()) > _NOTE_WORDS else " "
+
+
+def clean_segment(text: str | None, speaker: str | None) -> tuple[int | None, str, str]:
+    """(speaker number, clean text, folded words). The number is that in speaker or else at the head of text. The words
+    are empty if nothing is said."""
+    number = label_number(speaker)
+    if not text:
+        return number, "", ""
+    t = _TIME.sub(" ", unicodedata.normalize("NFC", text))
+    for _ in range(2):  # before and after sound notes are gone, since a label may be bracketed like a note
+        m = _HEAD.match(t)
+        if m:
+            number = number if number is not None else int(m[1] or m[2] or m[3])
+            t = t[m.end() :]
+        t = _NOTE.sub(_drop_note, t)
+    t = _SOUND.sub(" ", t)
+    t = _HESITATION.sub(" ", t)
+    words = fold(t)
+    if not words:
+        return number, "", ""
+    for pattern, put in _TIDY:
+        t = pattern.sub(put, t)
+    return number, t, words
