@@ -82,7 +82,7 @@ def grouped_split(df: DataFrame, key: str, client: str, strata: dict[str, Column
 
     shares gives each split's share; the first split takes what the others leave. Components go by their most frequent
     stratum (ties: the lower one); in each stratum they are taken in hash order, and the running row count before a
-    component tells its split. A component with more rows than a quarter of the smallest share of its stratum would
+    component tells its split. A component with more rows than half of the smallest share of its stratum would
     distort that split and goes to the first. A row without a speaker is a component of its own. Strata may be NULL."""
     main, *rest = shares
     names = list(strata)
@@ -96,7 +96,7 @@ def grouped_split(df: DataFrame, key: str, client: str, strata: dict[str, Column
     units = staged(units.select("unit", "n", F.concat_ws("\u0001", "stratum.*").alias("stratum"), uniform("unit", seed=seed).alias("u")), "units")
     total = units.groupBy("stratum").agg(F.sum("n").alias("total"))
     units = units.join(total, "stratum")
-    large = F.col("n") > F.greatest(F.lit(1.0), F.col("total") * (min(shares[r] for r in rest) / 4))
+    large = F.col("n") > F.greatest(F.lit(1.0), F.col("total") * (min(shares[r] for r in rest) / 2))
     placed = running_before(units.where(~large), ["stratum"], "u", "unit", "n", "before")
     middle = (F.col("before") + F.col("n") / 2) / F.col("total")
     choice, upto = F.lit(main), sum(shares[r] for r in rest)
