@@ -1,5 +1,5 @@
 """The modules that hold the core's queries."""
 
-from mundspark.plans import problems
+from mundspark.plans import chunking, problems, tables
 
-MODULES = (problems,)
+MODULES = (problems, tables, chunking)

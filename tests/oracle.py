@@ -2,6 +2,7 @@
 
 import math
 import os
+from collections import Counter
 
 import duckdb
 
@@ -20,7 +21,7 @@ def connect(sf=SF):
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else float(f"{v:.9g}") + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return v
@@ -38,6 +39,6 @@ def compare(spark, name, sf=SF):
     want = sorted((tuple(plain(r[i]) for i in pick) for r in cur.fetchall()), key=repr)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*[df[f"`{c}`"] for c in order]).collect()), key=repr)
     assert len(got) == len(want), f"{name}: {len(got)} rows, SQL has {len(want)}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    assert not bad, f"{name}: {len(bad)} of {len(got)} rows differ, such as {bad[:3]}"
+    extra, lost = Counter(got) - Counter(want), Counter(want) - Counter(got)
+    assert not extra and not lost, f"{name}: of {len(got)} rows {sum(extra.values())} differ: {list(extra)[:4]} for {list(lost)[:4]}"
     return len(got)
