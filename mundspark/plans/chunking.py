@@ -57,7 +57,7 @@ def _utterances(spark, sf):
 
 
 _SPEAKER = "regexp_extract(regexp_replace(lower(regexp_replace(trim(client_id), '^.*[/:_]', '')), '[^0-9a-f]', '', 'g'), '([0-9a-f]{16})$', 1)"
-_SECONDS = "greatest(case when duration is null or isnan(duration) then 0 else duration end, 0)"
+_SECONDS = "greatest(case when duration is null or (cast(duration as varchar) = 'nan') then 0 else duration end, 0)"
 _UTT = f"""select k, row_number() over (partition by k order by audio_path nulls first, utt_id) as o, case when s > 0 then s else 5.0 end as d from (
   select {_SPEAKER} as k, audio_path, utt_id, {_SECONDS} as s from merged_train) where k <> ''"""
 

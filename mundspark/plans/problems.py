@@ -36,7 +36,7 @@ def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
 _P3 = """
 with i as (
   select episode_id, cast(round(start * 1000) as bigint) as s, cast(round("end" * 1000) as bigint) as e
-  from transcript_segments where start is not null and not isnan(start) and "end" is not null and not isnan("end")
+  from transcript_segments where start is not null and not (cast(start as varchar) = 'nan') and "end" is not null and not (cast("end" as varchar) = 'nan')
 ), v as (select * from i where e > s),
 f as (select *, max(e) over (partition by episode_id order by s, e rows between unbounded preceding and 1 preceding) as far from v),
 r as (select *, sum(case when far is null or s > far then 1 else 0 end) over (partition by episode_id order by s, e rows unbounded preceding) as run from f),

@@ -56,7 +56,7 @@ def conform_utterances(spark, sf):
   select 'sentence' as column_name, count(*) filter (sentence is null) as nulls, count(*) filter (trim(sentence) = '') as blanks, count(*) filter (lower(trim(sentence)) = 'nan') as nans from merged_train
   union all select 'client_id', count(*) filter (client_id is null), count(*) filter (trim(client_id) = ''), count(*) filter (lower(trim(client_id)) = 'nan') from merged_train
   union all select 'dialect_region', count(*) filter (dialect_region is null), count(*) filter (trim(dialect_region) = ''), count(*) filter (lower(trim(dialect_region)) = 'nan') from merged_train
-  union all select 'duration', count(*) filter (duration is null), 0, count(*) filter (isnan(duration)) from merged_train)""")
+  union all select 'duration', count(*) filter (duration is null), 0, count(*) filter ((cast(duration as varchar) = 'nan')) from merged_train)""")
 def null_profile(spark, sf):
     """NULL, blank and NaN counts per column in one pass."""
     return reports.null_profile(table(spark, sf, "merged_train"), ["sentence", "client_id", "dialect_region", "duration"])
@@ -91,7 +91,7 @@ def label_encoding(spark, sf):
 
 
 @query("""select dataset, count(*) as n, count(*) filter (d > 0) as usable, round(sum(d), 3) as seconds from (
-  select dataset, greatest(case when duration is null or isnan(duration) then 0 else duration end, 0) as d from merged_train) group by all""")
+  select dataset, greatest(case when duration is null or (cast(duration as varchar) = 'nan') then 0 else duration end, 0) as d from merged_train) group by all""")
 def coerced_durations(spark, sf):
     """Durations made usable: missing, NaN and negative ones count as 0."""
     t = table(spark, sf, "merged_train").select("dataset", C.seconds(F.col("duration")).alias("d"))
@@ -195,7 +195,7 @@ def value_counts(spark, sf):
     return reports.value_counts(table(spark, sf, "merged_train"), ["gender", "age", "dataset", "canton"])
 
 
-_SEC = "greatest(case when duration is null or isnan(duration) then 0 else duration end, 0)"
+_SEC = "greatest(case when duration is null or (cast(duration as varchar) = 'nan') then 0 else duration end, 0)"
 
 
 @query(f"""select dialect_region, case when dialect_region is null then 0 else round(sum({_SEC}) / 3600, 4) end as hours from merged_train group by dialect_region""")
@@ -205,8 +205,8 @@ def hours_by_region(spark, sf):
     return t.select("dialect_region", F.when(F.col("dialect_region").isNull(), 0.0).otherwise(F.round("h", 4)).alias("hours"))
 
 
-@query("""select dataset, count(*) as n, round(100 * count(*) filter (duration > 0 and not isnan(duration)) / count(*), 1) as usable_pct, round(avg(d), 6) as mean, median(d) as median, min(d) as least, max(d) as most
-  from (select *, case when duration > 0 and not isnan(duration) then duration end as d from merged_train) group by all""")
+@query("""select dataset, count(*) as n, round(100 * count(*) filter (duration > 0 and not (cast(duration as varchar) = 'nan')) / count(*), 1) as usable_pct, round(avg(d), 6) as mean, median(d) as median, min(d) as least, max(d) as most
+  from (select *, case when duration > 0 and not (cast(duration as varchar) = 'nan') then duration end as d from merged_train) group by all""")
 def describe_durations(spark, sf):
     """Mean, median and range of usable durations, and their share."""
     d = F.when((F.col("duration") > 0) & ~F.isnan("duration"), F.col("duration"))
