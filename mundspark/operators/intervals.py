@@ -74,3 +74,65 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, shard: in
              g -> g.start is not null)))"""
     )
     return x.select("entity", F.inline(out))
+
+
+#: Ticks of the finest time bin of a range join, how many bins an interval may fill before it goes to the next level, and
+#: how many levels there are.
+BIN, FILL, LEVELS = 30_000, 64, 4
+
+
+def _binned(df: DataFrame, side: str, start: str, end: str) -> DataFrame:
+    """Rows of df for every time bin that an interval touches, at its own level and at all above."""
+    length = F.col(end) - F.col(start)
+    level = F.lit(0)
+    for k in range(1, LEVELS):
+        level = F.when(length > BIN * FILL**k, k).otherwise(level)
+
+    def at(k: int) -> Column:
+        size = BIN * FILL**k
+        touched = F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))
+        return F.when(level <= k, F.transform(touched, lambda b: F.struct(F.lit(k).alias("_level"), b.alias("_bin")))).otherwise(F.array())
+
+    bins = [at(k) for k in range(LEVELS)]
+    return df.where(F.col(end) > F.col(start)).select("*", level.alias(f"_own_{side}"), F.inline(F.concat(*bins)))
+
+
+def overlapping(a: DataFrame, b: DataFrame, entity: str, a_times: tuple[str, str], b_times: tuple[str, str]) -> DataFrame:
+    """Pairs of rows of a and b of one entity whose half-open intervals overlap, with the overlap in ticks.
+
+    The join is on entity, level and time bin, so a hot entity is spread by time; a pair is met at the level of the longer
+    interval and in the one bin where the later of the two begins. Column names of a and b, but for entity, must differ."""
+    x, y = _binned(a, "a", *a_times), _binned(b, "b", *b_times)
+    later = F.greatest(F.col(a_times[0]), F.col(b_times[0]))
+    size = F.lit(BIN) * F.pow(F.lit(FILL), F.col("_level"))
+    j = x.join(y, [entity, "_level", "_bin"]).where(
+        (F.col(a_times[0]) < F.col(b_times[1])) & (F.col(b_times[0]) < F.col(a_times[1])) & (F.greatest("_own_a", "_own_b") == F.col("_level")) & (F.floor(later / size) == F.col("_bin"))
+    )
+    return j.withColumn("overlap", F.least(F.col(a_times[1]), F.col(b_times[1])) - later).drop("_level", "_bin", "_own_a", "_own_b")
+
+
+def attribute(segments: DataFrame, turns: DataFrame, entity: str, key: str, seg_times: tuple[str, str], turn_times: tuple[str, str], label: str, none: str = "UNKNOWN") -> DataFrame:
+    """(key, label): the label whose turns overlap a segment longest; the first label on a tie, `none` without overlap."""
+    o = overlapping(segments.select(entity, key, *seg_times), turns.select(entity, label, *turn_times), entity, seg_times, turn_times)
+    best = o.groupBy(key, label).agg(F.sum("overlap").alias("_n")).groupBy(key).agg(F.min_by(label, F.struct(-F.col("_n"), label)).alias(label))
+    return segments.select(key).join(best, key, "left").select(key, F.coalesce(label, F.lit(none)).alias(label))
+
+
+def multiplicity(segments: DataFrame, turns: DataFrame, entity: str, key: str, seg_times: tuple[str, str], turn_times: tuple[str, str], step: int, at_least: int = 2) -> DataFrame:
+    """(key, samples, share): of the instants start, start + step, ... before a segment's end, the share at which at
+    least so many turns are running (from their start to before their end). Segments without length have no row.
+
+    Instants are counted from the overlaps: a turn covers the instants between two tick numbers, and a segment has no more
+    of those than its length allows; nothing is joined instant by instant."""
+    s0, s1, t0, t1 = *seg_times, *turn_times
+    o = overlapping(segments.select(entity, key, s0, s1), turns.select(entity, t0, t1), entity, seg_times, turn_times)
+    first = F.ceil(F.greatest(F.col(t0) - F.col(s0), F.lit(0)) / step)
+    last = F.ceil((F.least(t1, s1) - F.col(s0)) / step)  # exclusive
+    # every turn adds one from its first instant and takes it off after its last
+    edges = o.select(key, F.inline(F.array(F.struct(first.alias("at"), F.lit(1).alias("d")), F.struct(last.alias("at"), F.lit(-1).alias("d"))))).groupBy(key, "at").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(key).orderBy("at")
+    runs = edges.select(key, "at", F.sum("d").over(w).alias("n"), F.lead("at").over(w).alias("to"))
+    hits = runs.where(F.col("n") >= at_least).groupBy(key).agg(F.sum(F.col("to") - F.col("at")).alias("hits"))
+    samples = F.ceil((F.col(s1) - F.col(s0)) / step)
+    j = segments.where(F.col(s1) > F.col(s0)).select(key, samples.alias("samples")).join(hits, key, "left")
+    return j.select(key, "samples", (F.coalesce("hits", F.lit(0)) / F.col("samples")).alias("share"))

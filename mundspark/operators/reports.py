@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,18 +65,16 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): inverse frequencies (at least 1e-6 of the rows), with mean 1 over the classes."""
     n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    t = n.agg(F.sum("n").alias("_all"))
-    w = n.join(F.broadcast(t)).withColumn("_w", 1 / F.greatest(F.col("n") / F.col("_all"), F.lit(1e-6)))
-    mean = w.agg(F.avg("_w").alias("_mean"))
-    return w.join(F.broadcast(mean)).select(label, "n", (F.col("_w") / F.col("_mean")).alias("weight"))
+    every = Window.partitionBy()  # over one row for each class
+    w = n.withColumn("_w", 1 / F.greatest(F.col("n") / F.sum("n").over(every), F.lit(1e-6)))
+    return w.select(label, "n", (F.col("_w") / F.avg("_w").over(every)).alias("weight"))
 
 
 def split_summary(df: DataFrame, split: str, speaker: str, hours: Column) -> DataFrame:
     """Per split and in total (split `all`): rows, share, speakers, hours."""
     s = df.groupingSets([[F.col(split)], []], F.col(split)).agg(F.grouping(split).alias("_t"), F.count(F.lit(1)).alias("rows"), F.count_distinct(speaker).alias("speakers"), F.sum(hours).alias("hours"))
-    total = F.max(F.when(F.col("_t") == 1, F.col("rows")))
-    t = s.agg(total.alias("_of"))
-    return s.join(F.broadcast(t)).select(F.when(F.col("_t") == 1, "all").otherwise(F.col(split)).alias(split), "rows", F.round(100 * F.col("rows") / F.col("_of"), 1).alias("pct"), "speakers", "hours")
+    of = F.max("rows").over(Window.partitionBy())  # over one row for each split; the total is the largest
+    return s.select(F.when(F.col("_t") == 1, "all").otherwise(F.col(split)).alias(split), "rows", F.round(100 * F.col("rows") / of, 1).alias("pct"), "speakers", "hours")
 
 
 def shared_keys(df: DataFrame, key: str, split: str) -> DataFrame:

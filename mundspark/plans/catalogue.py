@@ -1,5 +1,5 @@
 """The modules that hold the core's queries."""
 
-from mundspark.plans import chunking, problems, tables
+from mundspark.plans import chunking, problems, speech, tables
 
-MODULES = (problems, tables, chunking)
+MODULES = (problems, tables, chunking, speech)
