@@ -25,11 +25,15 @@ def is_missing(c: Column, tokens: tuple[str, ...] = ("", "nan", "none", "null"))
 def fold_array(texts: pa.Array, umlauts: bool = True) -> pa.Array:
     """Words of each text, in lower case, NFKC, joined by one space; letters and digits only. umlauts: ä, ö, ü, ß are
     written ae, oe, ue, ss. NULL stays NULL."""
+    # some versions of this function leave letters and marks apart, so both forms of an umlaut are dealt with
     a = pc.utf8_lower(pc.utf8_normalize(texts.cast(pa.string()), form="NFKC"))
-    a = pc.replace_substring_regex(a, r"[\p{M}\p{Cf}]+", "")
+    a = pc.replace_substring_regex(a, r"\p{Cf}+", "")
+    for letter, one, two in (("a", "ä", "ae"), ("o", "ö", "oe"), ("u", "ü", "ue")):
+        a = pc.replace_substring(a, letter + "\u0308", two if umlauts else one)
+        a = pc.replace_substring(a, one, two) if umlauts else a
     if umlauts:
-        for x, y in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
-            a = pc.replace_substring(a, x, y)
+        a = pc.replace_substring(a, "ß", "ss")
+    a = pc.replace_substring_regex(a, r"\p{M}+", "")
     return pc.utf8_trim_whitespace(pc.replace_substring_regex(a, r"[^\p{L}\p{N}]+", " "))
 
 
