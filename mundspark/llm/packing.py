@@ -90,13 +90,12 @@ def pack(lengths: list[int], docs: list[list[int]], capacity: int, idf: np.ndarr
             while free and free[0][0] <= room:
                 # the one or two items that leave the least room; the first of two is a near neighbour or the largest
                 at = bisect_right(free, (room, n)) - 1
-                best, pick = free[at][0], (free[at][1],)
-                firsts = [i for i in near if unused[i] and lengths[i] < room][:_TRIES] or [free[at][1]]
-                for i in firsts:
+                best, pick = 0, ()
+                firsts = [i for i in near if unused[i] and lengths[i] <= room][:_TRIES]
+                for i in [*firsts, free[at][1]]:
                     if lengths[i] > best:
                         best, pick = lengths[i], (i,)
-                    rest = room - lengths[i]
-                    j = bisect_right(free, (rest, n)) - 1
+                    j = bisect_right(free, (room - lengths[i], n)) - 1
                     if j >= 0 and free[j][1] == i:
                         j -= 1
                     if j >= 0 and lengths[i] + free[j][0] > best:

@@ -45,4 +45,25 @@ def p8_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p8_ids": p8_ids, "p8_tokens_by_source": p8_tokens_by_source}
-SQL: dict[str, str] = {}
+_PAIRS = """
+with r as (
+  select utt_id, split, dataset, regexp_extract(lower(replace(audio_path, '\\', '/')), '([^/]+?)(\\.[a-z0-9]{1,5})?$', 1) as file,
+    right(regexp_replace(lower(regexp_replace(client_id, '^.*[/:_]', '')), '[^0-9a-f]', '', 'g'), 16) as speaker,
+    trim(regexp_replace(replace(replace(replace(replace(lower(nfc_normalize(sentence)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) as words
+  from (select *, 'train' as split from merged_train union all by name select *, 'valid' as split from merged_valid union all by name select *, 'test' as split from merged_test)),
+pairs as (
+  select a.utt_id as train_id, b.utt_id as eval_id from r a join r b on a.file = b.file and a.dataset = b.dataset
+  where a.split = 'train' and b.split <> 'train' and a.file not in ('', 'nan')
+  union
+  select a.utt_id, b.utt_id from r a join r b on a.speaker = b.speaker
+  where a.split = 'train' and b.split <> 'train' and length(a.speaker) = 16 and a.words not in ('', 'nan', 'none', 'null') and b.words not in ('', 'nan', 'none', 'null')
+    and (a.words = b.words or abs(length(a.words) - length(b.words)) <= 2
+      and regexp_replace(a.words, '[^0-9 ]', '', 'g') = regexp_replace(b.words, '[^0-9 ]', '', 'g') and levenshtein(a.words, b.words) <= 2))
+"""
+SQL = {
+    "p1_found": _PAIRS + "select least(train_id, eval_id) as utt_id_a, greatest(train_id, eval_id) as utt_id_b from pairs",
+    "p1_report": _PAIRS
+    + """, hits as (select eval_id, count(*) as n from pairs group by all)
+select split, dataset, count(*) as records, count(n) as leaked, cast(coalesce(sum(n), 0) as bigint) as pairs
+from r left join hits on eval_id = utt_id where split <> 'train' group by all""",
+}
