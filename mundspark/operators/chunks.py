@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mundspark.runtime import staged
+from mundspark.runtime import staged, width
 
 #: Items of a block on average; keys with no more than twice as many are one block.
 BLOCK = 20_000
@@ -103,7 +103,7 @@ def greedy_chunks(df: DataFrame, keys: list[str], order: list[str], size: Column
     keys are a key. target must be positive."""
     if target <= 0:
         raise ValueError("the target must be positive")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = width(df)
     row = df.withColumn("_size", F.greatest(F.coalesce(size.cast("double"), F.lit(0.0)), F.lit(0.0)))
     counts = row.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 2 * block)
     many = staged(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "large-keys")
@@ -175,8 +175,7 @@ def _tables(j: DataFrame, keys: list[str], order: list[str], target: float, poli
             got = [(*key, *x) for x in chain(blocks, target, policy)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), arrow_out)], schema=arrow_out)
 
-    n = int(j.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return staged(sums.repartition(n, *keys).sortWithinPartitions(*keys, "_block").mapInArrow(link, out), "block-links")
+    return staged(sums.repartition(width(sums), *keys).sortWithinPartitions(*keys, "_block").mapInArrow(link, out), "block-links")
 
 
 def _number(row: DataFrame, keys: list[str], order: list[str], target: float, policy: str, tables: DataFrame | None) -> DataFrame:
@@ -188,7 +187,7 @@ def _number(row: DataFrame, keys: list[str], order: list[str], target: float, po
         t = tables.select(*[F.col(c).alias(f"_j{i}") for i, c in enumerate([*keys, "_block"])], "_in", "_before")
         on = _all([row[c].eqNullSafe(t[f"_j{i}"]) for i, c in enumerate([*keys, "_block"])])
         j = row.join(t, on).select(*row.columns, "_in", "_before")
-    j = j.sortWithinPartitions(*keys, "_block", *order) if tables is None else j.repartition(int(row.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_block").sortWithinPartitions(*keys, "_block", *order)
+    j = j.sortWithinPartitions(*keys, "_block", *order) if tables is None else j.repartition(width(row), *keys, "_block").sortWithinPartitions(*keys, "_block", *order)
     cols = [c for c in row.columns]
     schema = T.StructType([*[row.schema[c] for c in cols], T.StructField("chunk", T.LongType())])
     arrow = to_arrow_schema(schema)

@@ -82,3 +82,47 @@ def chrf(df: DataFrame, reference: str, hypothesis: str, *groups: str, order: in
         total = total + F.when(both, f).otherwise(0.0)
         used = used + both.cast("int")
     return s.select(*groups, F.coalesce(100 * total / F.nullif(used, F.lit(0)), F.lit(0.0)).alias("chrf"))
+
+
+def _edits(a: list[str], b: list[str]) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def translation_edits(reference: list[str], hypothesis: list[str], longest: int = 10, farthest: int = 50) -> int:
+    """Fewest edits that a greedy search finds, a move of up to `longest` neighbouring words over at most `farthest`
+    places counting as one. In each round the move that saves most is made, while one saves anything."""
+    h, moves = list(hypothesis), 0
+    cost = _edits(reference, h)
+    while cost:
+        best = None
+        for n in range(min(longest, len(h)), 0, -1):
+            for i in range(len(h) - n + 1):
+                part = h[i : i + n]
+                rest = h[:i] + h[i + n :]
+                for j in range(len(reference) - n + 1):
+                    if reference[j : j + n] == part and j != i and abs(i - j) <= farthest:
+                        made = rest[:j] + part + rest[j:]
+                        c = _edits(reference, made)
+                        if best is None or c < best[0]:
+                            best = (c, made)
+        if best is None or best[0] + 1 >= cost:
+            break
+        cost, h, moves = best[0], best[1], moves + 1
+    return cost + moves
+
+
+def translation_edit_rate(df: DataFrame, reference: str, hypothesis: str, *groups: str) -> DataFrame:
+    """(groups, ter): edits with moves over reference words, in percent, of all pairs together. The search for moves is no
+    column expression and runs on Arrow batches."""
+    import pandas as pd
+
+    count = F.pandas_udf(lambda r, h: pd.Series([translation_edits((x or "").split(), (y or "").split()) for x, y in zip(r, h)], dtype="int64"), "long")
+    words = F.size(F.filter(F.split(F.coalesce(reference, F.lit("")), r"\s+"), lambda w: w != ""))
+    d = df.select(*groups, count(F.col(reference), F.col(hypothesis)).alias("_e"), words.alias("_n"))
+    return d.groupBy(*groups).agg((100 * F.sum("_e") / F.nullif(F.sum("_n"), F.lit(0))).alias("ter"))

@@ -62,6 +62,16 @@ def staged(df: DataFrame, name: str = "stage", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width(df: DataFrame, part_bytes: int = 256 << 20) -> int:
+    """Partitions for a shuffle of df whose tasks run Python and so should not be coalesced: the session's setting, or
+    as many as keep a partition at part_bytes of what the plan is estimated to hold."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an estimate that no scan stands behind says nothing
+    return least if size >= 1 << 62 else max(least, -(-size // part_bytes))
+
+
 def bitmap(df: DataFrame, col: str) -> np.ndarray:
     """A Bloom bitmap (one hash function, BITMAP_BITS bits) of a long column, for prefilters that may let through too
     much but never too little. The driver receives at most BITMAP_BITS / 64 rows, whatever the size of df."""
