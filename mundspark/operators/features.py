@@ -68,7 +68,7 @@ class NaiveBayes:
         denominator = F.coalesce("total", F.lit(0)) + F.lit(alpha * size)
         priors = staged(docs.join(total, "label", "left").select("label", F.log(share).alias("prior"), denominator.alias("denominator"), F.log(F.lit(alpha) / denominator).alias("unseen")), "priors")
         ll = F.log((F.col("n") + alpha) / F.col("denominator"))
-        return NaiveBayes(priors, staged(tf.join(F.broadcast(priors), "label").select("label", "term", (ll - F.col("unseen")).alias("gain")), "class-gains"), vocab)
+        return NaiveBayes(priors, staged(tf.join(priors, "label").select("label", "term", (ll - F.col("unseen")).alias("gain")), "class-gains"), vocab)
 
     def score(self, counts: DataFrame, docs: DataFrame) -> DataFrame:
         """(doc, label, log_joint) for every document of docs and every class; terms outside the vocabulary are passed
@@ -128,7 +128,7 @@ def linear_model(weights: DataFrame, labels: DataFrame, features: int = 1 << 18,
     rows = hashed_rows(weights, features).join(labels.where("label is not null"), "doc")
     n = labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     n = n.withColumn("w", F.sum("_n").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_n"))).drop("_n")
-    rows = rows.join(F.broadcast(n), "label")
+    rows = rows.join(n, "label")
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=iterations, regParam=reg)
     return model.fit(rows), rows
 

@@ -232,10 +232,11 @@ def per_class_scores(spark, sf):
     return metrics.per_class(_cm(spark, sf))
 
 
-@query(f"""with {_PRF} select sum(support)::bigint as n, sum(recall * support) / sum(support) as accuracy, avg(f1) as macro_f1, avg(recall) as balanced_accuracy from f""")
+@query(f"""with {_PRF} select sum(support)::bigint as n, round(sum(recall * support) / sum(support), 6) as accuracy, round(avg(f1), 6) as macro_f1, round(avg(recall), 6) as balanced_accuracy from f""")
 def score_summary(spark, sf):
     """Accuracy, macro F1 and balanced accuracy."""
-    return metrics.summary(_cm(spark, sf))
+    s = metrics.summary(_cm(spark, sf))
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
 
 
 _EDGES = ", ".join(f"({a}, {b})" for a, bs in metrics.NEIGHBOURS.items() for b in bs)
@@ -260,14 +261,14 @@ def speaker_vote(spark, sf):
     return metrics.majority(t, "client_id", "vote", "utt_id")
 
 
-@query("""select dataset, mode(gender order by gender) as gender, count(*) as n, coalesce(stddev_samp(d), 0) as std_sample, stddev_pop(d) as std_population, median(d) as median, max(d) as most from (
+@query("""select dataset, mode(gender order by gender) as gender, count(*) as n, round(coalesce(stddev_samp(d), 0), 6) as std_sample, round(stddev_pop(d), 6) as std_population, median(d) as median, max(d) as most from (
   select dataset, gender, case when duration > 0 and cast(duration as varchar) <> 'nan' then duration end as d from merged_train) group by all""")
 def group_statistics(spark, sf):
     """Mode, both standard deviations, median and maximum per dataset."""
     d = F.when((F.col("duration") > 0) & ~F.isnan("duration"), F.col("duration"))
     t = table(spark, sf, "merged_train").select("dataset", "gender", d.alias("d"))
     return t.groupBy("dataset").agg(
-        F.mode("gender", True).alias("gender"), F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("std_sample"), F.stddev_pop("d").alias("std_population"), F.median("d").alias("median"), F.max("d").alias("most")
+        F.mode("gender", True).alias("gender"), F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.stddev_samp("d"), F.lit(0.0)), 6).alias("std_sample"), F.round(F.stddev_pop("d"), 6).alias("std_population"), F.median("d").alias("median"), F.max("d").alias("most")
     )
 
 
@@ -292,7 +293,7 @@ w as (select *, list_filter(string_split(r, ' '), lambda x: x <> '') as rw, list
 x as (select *, list_distinct(list_concat(rw, hw)) as vocab, list_distinct(list_concat(string_split(rc, ''), string_split(hc, ''))) as letters from w),
 e as (select *, levenshtein(array_to_string(list_transform(rw, lambda t: chr(33 + list_position(vocab, t)::int)), ''), array_to_string(list_transform(hw, lambda t: chr(33 + list_position(vocab, t)::int)), '')) as word_edits,
   levenshtein(array_to_string(list_transform(string_split(rc, ''), lambda t: chr(33 + list_position(letters, t)::int)), ''), array_to_string(list_transform(string_split(hc, ''), lambda t: chr(33 + list_position(letters, t)::int)), '')) as char_edits from x),
-r as (select reference_id, hypothesis_id, word_edits, len(rw) as ref_words, char_edits, length(rc) as ref_chars,
+r as (select reference_id, hypothesis_id, word_edits::integer as word_edits, len(rw)::integer as ref_words, char_edits::integer as char_edits, length(rc)::integer as ref_chars,
   case when len(rw) = 0 then case when h = '' then 0 else 1 end else word_edits / len(rw) end as wer, case when rc = '' then case when hypothesis = '' then 0 else 1 end else char_edits / length(rc) end as cer from e)"""
 
 

@@ -230,10 +230,10 @@ def class_balance(spark, sf):
 
 
 @query("""with n as (select label_id, count(*) as n from merged_train where label_id is not null group by all), w as (select *, 1 / greatest(n / sum(n) over (), 1e-6) as w from n)
-select label_id, n, w / avg(w) over () as weight from w""")
+select label_id, n, round(w / avg(w) over (), 6) as weight from w""")
 def class_weights(spark, sf):
     """Inverse-frequency weights with mean 1."""
-    return reports.class_weights(table(spark, sf, "merged_train"), "label_id")
+    return reports.class_weights(table(spark, sf, "merged_train"), "label_id").withColumn("weight", F.round("weight", 6))
 
 
 _LABELS = ", ".join(f"({i}, '{n}')" for i, n in REGIONS.items())
@@ -265,7 +265,7 @@ def distribution_by_dataset(spark, sf):
     return d.withColumn("hours", F.round("hours", 4))
 
 
-@query(f"""select grouping(dataset) + 0 as all_datasets, grouping(gender) + 0 as all_genders, dataset, gender, label_id, count(*) as clips, round(sum({_SEC}) / 3600, 4) as hours from merged_train
+@query(f"""select grouping(dataset)::integer as all_datasets, grouping(gender)::integer as all_genders, dataset, gender, label_id, count(*) as clips, round(sum({_SEC}) / 3600, 4) as hours from merged_train
 group by grouping sets ((label_id), (dataset, label_id), (dataset, gender, label_id))""")
 def multi_grain(spark, sf):
     """Clips and hours per label at three grains in one pass."""
