@@ -64,11 +64,11 @@ class Mixer:
     def copies(self) -> DataFrame:
         """(mix_name, source, key, n_tokens, copies): how often each document of a mix is used."""
         rates = staged(self.rates(), "mix-rates").join(self.targets.select("mix_name", "source", "max_repeat", "aim"), ["mix_name", "source"])
-        d = self.docs.where("n_tokens > 0").join(F.broadcast(staged(rates, "mix-plan")), ["source", "lang", "topic"])  # bounded by the cells
+        d = self.docs.where("n_tokens > 0").join(staged(rates, "mix-plan"), ["source", "lang", "topic"])  # as many rows as cells: broadcast while small
         whole = F.least(F.floor(F.col("rate") + 1e-9), F.col("max_repeat")).cast("int")
         d = d.withColumn("whole", whole).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
         given = d.groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("given"), F.max("part").alias("most"))
-        d = d.join(F.broadcast(staged(given, "mix-given")), ["mix_name", "source"])  # one row for each target
+        d = d.join(staged(given, "mix-given"), ["mix_name", "source"])  # one row for each target: broadcast while small
         more = d.where((F.col("part") > 1e-9) & (F.col("whole") < F.col("max_repeat")))
         order = 1 - F.exp(F.log1p(-uniform("mix_name", "key", seed=self.seed)) / (F.col("part") / F.col("most")))
         more = more.select("mix_name", "source", "key", "n_tokens", F.least(order, F.lit(1 - 1e-12)).alias("order"), (F.col("aim") - F.col("given")).alias("left"))

@@ -9,6 +9,8 @@ such pair side by side; neighbours from both splits whose common prefix is that
 carries a lane of five bits for each word of its text, and the equal lanes of two neighbours are the words that their
 shared spans cover: pairs with more than two words uncovered are dropped. What is left is compared exactly.
 
+A text of one or two words has no span left; its keys are the spellings that remain when letters are left out.
+
 Suffixes are those of distinct (speaker, text) classes, so copies of a record cost no further suffixes, and a frequent
 speaker is spread over as many partitions as his suffixes have different prefixes.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from mundspark.functions.keys import file_key, speaker_key
 from mundspark.functions.text import fold_array, same_words
-from mundspark.runtime import bitmap, in_bitmap, slot_of, staged
+from mundspark.runtime import bitmap, in_bitmap, slot_of, staged, width
 
 #: Letters that may be mistyped between two records with the same words.
 TYPOS = 2
@@ -52,6 +54,57 @@ def word_codes(words: pa.Array) -> np.ndarray:
     return codes[d.indices.to_numpy(zero_copy_only=False)]
 
 
+#: Letters above which a short text's word is not spelled with letters left out, but cut.
+_LONG_WORD = 40
+
+
+def _without(word: str, n: int) -> set[str]:
+    """The spellings of a word with up to n letters left out. Two words at most n edits apart have one in common."""
+    out = last = {word}
+    for _ in range(n):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def _thirds(word: str, side: int) -> list[str]:
+    """Pieces of a long word of which two words few edits apart share one: its first and last third, and its middle, which
+    the evaluation side offers at all places to which letters left out or doubled can have moved it."""
+    out, slack = [], 2 * TYPOS
+    for size in {1 << max((len(word) + d) // 4, 1).bit_length() - 1 for d in (-slack, 0, slack)}:
+        out += [f"<{size}{word[:size]}", f">{size}{word[-size:]}"]
+        at = (len(word) - size) // 2
+        out += [f"={size}{word[at + d : at + d + size]}" for d in (range(-slack, slack + 1) if side & 2 else (0,))]
+    return out
+
+
+def short_keys(words: list[str], side: int) -> set[str]:
+    """Keys of a text of one or two words, of which two such texts with up to TYPOS mistyped letters share one. A mistyped
+    umlaut is one letter, so words are also taken with one letter for each of ae, oe, ue."""
+
+    def near(word: str, n: int) -> set[str]:
+        forms = {word, word.replace("ae", "ä").replace("oe", "ö").replace("ue", "ü")}
+        return {k for w in forms for k in (_without(w, n) if len(w) <= _LONG_WORD else _thirds(w, side))}
+
+    if len(words) == 1:
+        return near(words[0], TYPOS)
+    # both words may have a letter mistyped, or one of them two and the other none
+    return {"1" + k for k in near(words[0], TYPOS - 1)} | {"2" + words[1]}
+
+
+def _short(rows: list[tuple[int, list[str], int]], who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, prefix code) of the keys of short texts."""
+    import xxhash
+
+    at, codes = [], []
+    for r, words, side in rows:
+        seed = int(who[r])
+        for k in short_keys(words, side):
+            at.append(r)
+            codes.append(xxhash.xxh64_intdigest(f"{len(words)}|{k}", seed))
+    return np.array(at, dtype=np.int64), np.array(codes, dtype=np.uint64)
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(side, speaker slot, class, text) rows to their indexed suffixes (prefix, class, lanes, side)."""
     for b in batches:
@@ -69,13 +122,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(w):
                 lane = np.uint64(_LANE_BITS * (k % _LANES))
                 lanes ^= ((grid[:, k] >> np.uint64(7)) & np.uint64((1 << _LANE_BITS) - 1)) << lane
+            if w <= TYPOS:
+                texts = b.column("text")
+                at, key = _short([(int(r), texts[int(r)].as_py().split(" "), int(side[r])) for r in rows], who)
+                place = {int(r): i for i, r in enumerate(rows)}
+                own = np.array([place[int(r)] for r in at], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(cls[at]), pa.array(lanes[own].astype(np.int64)), pa.array(side[at])], names=["prefix", "class", "lanes", "side"])
+                continue
             span = max(1, (int(w) - TYPOS + 1) // 2)
             step = max(1, span // 2)
             head = _mix(who[rows] + np.uint64(int(w) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            for at in range(0, w, step) if w > TYPOS else [-1]:
-                # a text of one or two words may differ in all of them; its suffix has no words, only its length
+            for at in range(0, w, step):
                 key = _mix(head + np.uint64(at + 2))
-                for k in range(span - step + 1 if w > TYPOS else 0):
+                for k in range(span - step + 1):
                     key = _mix(key * np.uint64(31) + grid[:, (at + k) % w])
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(cls[rows]), pa.array(lanes.astype(np.int64)), pa.array(side[rows])], names=["prefix", "class", "lanes", "side"])
 
@@ -110,8 +169,7 @@ def text_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     records = staged(_records(both, asked), "overlap-records")
 
     suffixes = records.select("side", "speaker", "class", "text").mapInArrow(_suffixes, "prefix long, class long, lanes long, side int")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    array = suffixes.repartition(n, "prefix").groupBy("prefix", "class", "lanes").agg(F.bit_or("side").alias("side"))
+    array = suffixes.repartition(width(train), "prefix").groupBy("prefix", "class", "lanes").agg(F.bit_or("side").alias("side"))
     a = array.where("(side & 1) != 0").select("prefix", F.col("class").alias("class_a"), F.col("lanes").alias("lanes_a")).hint("merge")
     b = array.where("(side & 2) != 0").select("prefix", F.col("class").alias("class_b"), F.col("lanes").alias("lanes_b"))
     x = F.col("lanes_a").bitwiseXOR(F.col("lanes_b"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mundspark.runtime import staged
+from mundspark.runtime import staged, width
 
 TERMS, SHARD = 1 << 18, 512
 #: BM25's saturation and length parameters.
@@ -135,8 +135,7 @@ def containers(items: DataFrame, key: str, owner: Column, length: Column, text:
     many = staged(usable.groupBy("owner").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SHARD), "large-owners")
     s = usable.join(many, "owner", "left")
     s = s.withColumn("shard", F.when(F.col("c").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.ceil(F.col("c") / SHARD))).cast("int")).drop("c")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = s.repartition(n, "owner", "shard").sortWithinPartitions("owner", "shard", "key")
+    s = s.repartition(width(items), "owner", "shard").sortWithinPartitions("owner", "shard", "key")
     kind = items.schema[key].dataType.simpleString()
     schema = f"owner string, container string, key {kind}, piece int, at long, length long"
 

@@ -96,7 +96,7 @@ class Sampler:
         w = staged(self.weights(), "weights")
         mean = w.groupBy("target_set", "label_id").agg((F.sum("expected") / F.sum("n")).alias("mean"))
         w = w.join(mean, ["target_set", "label_id"]).where("expected > 0").select("target_set", "label_id", *self.names, (F.col("expected") / F.col("n")).alias("chance"), (F.col("expected") / F.col("n") / F.col("mean")).alias("ratio"))
-        r = self.rows.join(F.broadcast(staged(w, "chances")), ["label_id", *self.names])  # bounded by the cells
+        r = self.rows.join(staged(w, "chances"), ["label_id", *self.names])  # as many rows as cells: broadcast while small
         u = uniform("target_set", "key", seed=self.seed)
         order = 1 - F.exp(F.log1p(-u) / F.col("ratio"))  # the exponential key, mapped to [0, 1) in the same order
         r = r.withColumn("order", order)

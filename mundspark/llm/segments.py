@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mundspark.functions.transcript import clean_segment
 from mundspark.operators.intervals import to_ms
+from mundspark.runtime import width
 
 #: Milliseconds of one chunk of an episode, and the most segments that are held at once.
 CHUNK_MS, PIECE = 600_000, 4096
@@ -30,8 +31,7 @@ def clean_segments(segments: DataFrame) -> DataFrame:
     start = to_ms(F.col("start"))
     chunk = F.coalesce(F.floor(start / CHUNK_MS), F.lit(_NO_START)).alias("chunk")
     cols = ["episode_id", "podcast", "start", "end", "speaker", "text", "overlap_coverage"]
-    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = segments.where("text is not null").select(chunk, "segment_id", *cols).repartition(n, "episode_id", "chunk")
+    s = segments.where("text is not null").select(chunk, "segment_id", *cols).repartition(width(segments), "episode_id", "chunk")
     once = s.groupBy("chunk", *cols).agg(F.min("segment_id").alias("segment_id"))
     end = to_ms(F.col("end"))
     once = once.select("episode_id", "chunk", start.alias("start_ms"), F.when(end > start, end).alias("end_ms"), "segment_id", "speaker", "text")

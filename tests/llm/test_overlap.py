@@ -37,6 +37,8 @@ def test_against_brute_force(spark):
     words = "der die das boot zaun hund katze sofort gerne heute morgen prüft öffnet zählt mühle brücke 1 2 33 uhr im am".split()
 
     def typo(s):
+        if not s:
+            return s
         i = rnd.randrange(len(s))
         return s if not s[i].isalpha() else rnd.choice([s[:i] + s[i + 1 :], s[:i] + s[i] + s[i:], s[:i] + "x" + s[i + 1 :]])
 
@@ -45,6 +47,13 @@ def test_against_brute_force(spark):
     train, ev = make(0), make(1000)
     want = sorted((a[0], b[0]) for a in train for b in ev if a[2] == b[2] and fold(a[1]) and fold(b[1]) and same_words(fold(a[1]), fold(b[1]), 2))
     assert pairs(spark, train, ev) == want
+    # one and two words, long ones among them
+    alphabet = "abcdeäöü"
+    word = lambda: "".join(rnd.choice(alphabet) for _ in range(rnd.choice([1, 2, 5, 9, 45, 46, 90])))
+    said = [" ".join(word() for _ in range(rnd.randint(1, 2))) for _ in range(120)]
+    train, ev = make(0), make(1000)
+    want = sorted((a[0], b[0]) for a in train for b in ev if a[2] == b[2] and fold(a[1]) and fold(b[1]) and same_words(fold(a[1]), fold(b[1]), 2))
+    assert pairs(spark, train, ev) == want
     # a very long sentence, and copies of it
     long = " ".join(rnd.choice(words) for _ in range(3000))
     assert pairs(spark, [(1, long, H, None, "d"), (2, long, H, None, "d")], [(3, long.replace("hund", "hunnd", 1), H, None, "d")]) == [(1, 3), (2, 3)]
