@@ -7,14 +7,15 @@ import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Values that stand for a missing text (fixed values).
 MISSING = ("", "nan", "none", "null", "n/a", "na", "-", "?", "error", "no_phoneme")
 
-_UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"[\p{M}\p{Cf}]+")
 
 
 def is_missing(c: Column, tokens: tuple[str, ...] = ("", "nan", "none", "null")) -> Column:
@@ -41,9 +42,12 @@ def fold(text: str | None, umlauts: bool = True) -> str:
     """fold_array for one text; NULL gives the empty text."""
     if not text:
         return ""
-    t = unicodedata.normalize("NFKC", text).lower()
-    t = "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cf"))
-    return " ".join(_WORD.findall(t.translate(_UMLAUTS) if umlauts else t))
+    t = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower()
+    if umlauts and not t.isascii():
+        t = t.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss")
+    if not t.isascii():
+        t = _MARKS.sub("", t)
+    return " ".join(_WORD.findall(t))
 
 
 def distance(a: str, b: str, limit: int) -> int:

@@ -18,6 +18,7 @@ _LABEL = re.compile(rf"^\W*(?:{_NAME}|s)?[\s_.\-]*0*(\d{{1,6}})\W*$", re.I)
 #: Sound notes: short bracketed or starred remarks without the end of a sentence, and sound words between dashes.
 _NOTE = re.compile(r"\[([^\[\]]{0,80})\]|\(([^()]{0,80})\)|\{([^{}]{0,80})\}|<([^<>]{0,80})>|\*([^*\n]{1,80})\*")
 _NOTE_WORDS = 4
+_OPENED, _DASH = re.compile(r"[\[({<*]"), re.compile(r"[–—-]")
 _SOUND = re.compile(r"(?:(?<=\s)|^)[–—-]\s*(?:musik|applaus|jingle|pause|geräusch|gelächter|husten|lachen|rauschen|stille|music|applause|laughter)\s*[–—-](?=\s|$)", re.I)
 #: Hesitation sounds: äh, ähm, öh, öhm, ehm, uhm, hm, mhm with any of their letters drawn out.
 _HESITATION = re.compile(r"(?<!\w)(?:ä+h+m*|ä+m+|ö+h+m*|e+h+m+|u+h+m+|h+m+|m+h+m+)(?!\w)(?:…|\.\.\.|,)?", re.I)
@@ -49,18 +50,28 @@ def clean_segment(text: str | None, speaker: str | None) -> tuple[int | None, st
     number = label_number(speaker)
     if not text:
         return number, "", ""
-    t = _TIME.sub(" ", unicodedata.normalize("NFC", text))
+    # most segments hold nothing to take out; cheap tests for a pattern's least sign spare them the search
+    raw = t = text if text.isascii() else unicodedata.normalize("NFC", text)
+    if ":" in t:
+        t = _TIME.sub(" ", t)
     for _ in range(2):  # before and after sound notes are gone, since a label may be bracketed like a note
         m = _HEAD.match(t)
         if m:
             number = number if number is not None else int(m[1] or m[2] or m[3])
             t = t[m.end() :]
+        if not _OPENED.search(t):
+            break
         t = _NOTE.sub(_drop_note, t)
-    t = _SOUND.sub(" ", t)
-    t = _HESITATION.sub(" ", t)
+    if _DASH.search(t):
+        t = _SOUND.sub(" ", t)
+    low = t.lower()
+    if "hm" in low or "äh" in low or "öh" in low or "äm" in low:
+        t = _HESITATION.sub(" ", t)
     words = fold(t)
     if not words:
         return number, "", ""
+    if t is raw and t[0].isalnum() and "♪" not in t:
+        return number, " ".join(t.split()), words
     for pattern, put in _TIDY:
         t = pattern.sub(put, t)
     return number, t, words
