@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ _LABEL = re.compile(r"^\s*(?:[\[(<]?\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*[\
 _PHONES = re.compile(r"/[^/\n]{3,}/")
 _END = re.compile(r"(?<=[.!?…])[\s\"'»”)]+|\n+|\t")
 _WORD = re.compile(r"[^\W\d_]+")
+_INVISIBLE = regex.compile(r"\p{Cf}+")
 
 
 def language_of_label(lang: Column) -> Column:
@@ -67,8 +69,8 @@ def sentences(text: str | None) -> list[tuple[str, int]]:
     """(folded sentence, its number of words) of a text in order; parts without words are left out."""
     if not text:
         return []
-    t = "".join(c for c in text if unicodedata.category(c) != "Cf") if not text.isascii() else text
-    t = unicodedata.normalize("NFKC", t).replace("\r", "\n")
+    t = text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+    t = t.replace("\r", "\n")
     t = _TITLE.sub(_drop_title, _TAG.sub("\n", t))
     out = []
     for line in t.split("\n"):
@@ -91,27 +93,26 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(t) + 2 for t in texts])
     owner = np.repeat(np.arange(len(texts)), lengths)
     owners, hashes = [], []
-    for n in SIZES:
+    h = np.full(len(codes), 0x243F6A8885A308D3, dtype=np.uint64)
+    for n in range(1, max(SIZES) + 1):  # each size goes on from the one before
         if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        inside = owner[: len(h)] == owner[n - 1 :]
-        owners.append(owner[: len(h)][inside])
-        hashes.append(h[inside])
+            break
+        h = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n in SIZES:
+            inside = owner[: len(h)] == owner[n - 1 :]
+            owners.append(owner[: len(h)][inside])
+            hashes.append(h[inside] ^ np.uint64(n))
     if not hashes:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(owners), np.concatenate(hashes)
 
 
 def _slots(h: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for k in range(HASHES):
-        x = h * np.uint64((0xBF58476D1CE4E5B9 + 2 * k * 0x94D049BB133111EB) % (1 << 64) | 1)
-        out.append((x ^ (x >> np.uint64(32))) & np.uint64(FILTER_BYTES - 1))
-    return out
+    a = h * np.uint64(0xBF58476D1CE4E5B9)
+    a ^= a >> np.uint64(32)
+    step = (a >> np.uint64(20)) | np.uint64(1)
+    return [((a + np.uint64(k) * step) & np.uint64(FILTER_BYTES - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 class LanguageFilter:
@@ -131,10 +132,13 @@ class LanguageFilter:
         mask = np.full(len(h), 255, dtype=np.uint8)
         for s in _slots(h):
             mask &= self.bytes[s]
-        n = np.bincount(owner, minlength=len(texts)).astype(float)
+        # one count of every (text, set of languages), then the sets that hold each language
+        sets = 1 << len(self.false)
+        table = np.bincount(owner * sets + (mask & np.uint8(sets - 1)), minlength=len(texts) * sets).reshape(len(texts), sets).astype(float)
+        n = table.sum(axis=1)
         out = np.zeros((len(texts), len(self.false)))
         for i, p in enumerate(self.false):
-            c = np.bincount(owner, (mask >> i) & 1, len(texts))
+            c = table[:, (np.arange(sets) >> i) & 1 == 1].sum(axis=1)
             out[:, i] = np.clip((c - p * n) / np.maximum(n * (1 - p), 1e-9), 0, 1)
         return out
 
