@@ -167,3 +167,15 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; NULL if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def decision(mean: Column, median: Column, rule: str) -> Column:
+    """German (1) or dialect (0) from a speaker's chunk probabilities: by `mean` at least 0.5, or by `median` above 0.4."""
+    if rule not in ("mean", "median"):
+        raise ValueError(f"no rule {rule}")
+    return (mean >= 0.5).cast("int") if rule == "mean" else (median > 0.4).cast("int")
+
+
+def real_time_factor(wall_seconds: Column, audio_seconds: Column) -> Column:
+    """Seconds of work for a second of audio; NULL without audio."""
+    return wall_seconds / F.when(audio_seconds > 0, audio_seconds)

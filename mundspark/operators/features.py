@@ -108,6 +108,12 @@ def mean_probabilities(p: DataFrame, doc_group: DataFrame) -> DataFrame:
     return p.join(doc_group, "doc").groupBy("group", "label").agg(F.avg("p").alias("p"), F.count(F.lit(1)).alias("docs"))
 
 
+def probability_summary(p: DataFrame, doc_group: DataFrame, label: int = 1) -> DataFrame:
+    """(group, docs, mean, median, most): a class's probabilities over a group's documents."""
+    one = p.where(F.col("label") == label).join(doc_group, "doc")
+    return one.groupBy("group").agg(F.count(F.lit(1)).alias("docs"), F.avg("p").alias("mean"), F.median("p").alias("median"), F.max("p").alias("most"))
+
+
 def two_stage(groups: DataFrame, binary: DataFrame, fine: DataFrame, german: int = 7) -> DataFrame:
     """(group, is_german, prob_german, label_id, confidence) of every group: German if its mean probability of class 1 is
     at least that of class 0 is not, i.e. if class 1 wins; else the class with the largest mean probability of the second

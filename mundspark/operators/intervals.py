@@ -10,8 +10,8 @@ SHARD = 1 << 16
 
 
 def to_ms(c: Column) -> Column:
-    """Seconds to whole milliseconds; NULL and NaN give NULL."""
-    return F.when(F.isnan(c) | c.isNull(), None).otherwise(F.round(c * 1000).cast("long"))
+    """Seconds to whole milliseconds; NULL, NaN and what no clock reaches (above 9e12 s) give NULL."""
+    return F.when(F.abs(c) <= 9e12, F.round(c * 1000).cast("long"))
 
 
 def run_bitmap(df: DataFrame, entity: str, start: str, end: str, shard: int = SHARD) -> DataFrame:

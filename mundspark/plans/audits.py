@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mundspark.functions import columns as C
-from mundspark.operators import features, rows, selection
+from mundspark.functions.keys import file_key, speaker_key
+from mundspark.operators import features, models, rows, selection
 from mundspark.operators.transcript import chunked, islands, with_previous
 from mundspark.plans.speech import _CLIPS, _DROP, _clips, _gram_sql
 from mundspark.runtime import staged, table
@@ -95,3 +96,21 @@ def event_properties(spark, sf):
     """Events by type, with a number from their JSON properties."""
     k = F.from_json("props", "k bigint")["k"]
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 5).alias("mean"), F.sum(k).alias("k"))
+
+
+@query()
+def embedding_probe(spark, sf):
+    """Scores of a logistic regression on the embeddings over five stratified folds."""
+    return models.probe(table(spark, sf, "embeddings"), "embedding", "label", "vec_id")
+
+
+@query()
+def speaker_probabilities(spark, sf):
+    """Mean, median and largest probability of High German over each speaker's clips."""
+    clips = staged(_clips(spark, sf).where("label is not null"), "clips")
+    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), (2,), drop=_DROP), "counts")
+    nb = features.NaiveBayes.fit(counts, clips.select("doc", (F.col("label") == 7).cast("int").alias("label")))
+    owner = table(spark, sf, "merged_train").select(file_key(F.col("audio_path")).alias("doc"), speaker_key(F.col("client_id")).alias("group")).where("doc is not null and group is not null").groupBy("doc").agg(F.min("group").alias("group"))
+    p = nb.probabilities(counts, clips.select("doc").join(owner.select("doc"), "doc", "left_semi"))
+    s = features.probability_summary(p, owner)
+    return s.withColumn("by_mean", C.decision(F.col("mean"), F.col("median"), "mean")).withColumn("by_median", C.decision(F.col("mean"), F.col("median"), "median"))
