@@ -208,7 +208,7 @@ def decide(parts: list[tuple[str, int]], shares: np.ndarray) -> tuple[list[tuple
     return out, each.tolist()
 
 
-def _each(docs: DataFrame, key: str, text: str, model: LanguageFilter, parts: bool) -> DataFrame:
+def _each(docs: DataFrame, key: str, text: str, lang: str, model: LanguageFilter, parts: bool) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)  # FILTER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,21 +219,22 @@ def _each(docs: DataFrame, key: str, text: str, model: LanguageFilter, parts: bo
                 flat = [s for x in each for s, _ in x]
                 shares = known.value.shares(flat) if flat else np.zeros((0, len(LANGUAGES)))
                 rows, i = [], 0
-                for k, x in zip(c.column(0).to_pylist(), each):
+                for k, given, x in zip(c.column(0).to_pylist(), c.column(2).to_pylist(), each):
                     langs, of = decide(x, shares[i : i + len(x)])
                     if parts:
                         rows += _stretches(k, x, of, shares[i : i + len(x)]) if len(langs) > 1 else []
                     else:
-                        rows += [(k, LANGUAGES[n], p, len(langs)) for n, p in langs]
+                        rows += [(k, LANGUAGES[n], p, len(langs), given) for n, p in langs]
                     i += len(x)
-                cols = list(zip(*rows)) if rows else [()] * (5 if parts else 4)
-                types = [c.column(0).type, pa.int32(), pa.string(), pa.float64(), pa.string()] if parts else [c.column(0).type, pa.string(), pa.float64(), pa.int32()]
-                names = ["key", "part", "lang", "confidence", "words"] if parts else ["key", "lang", "confidence", "languages"]
+                cols = list(zip(*rows)) if rows else [()] * 5
+                types = [c.column(0).type, pa.int32(), pa.string(), pa.float64(), pa.string()] if parts else [c.column(0).type, pa.string(), pa.float64(), pa.int32(), pa.string()]
+                names = ["key", "part", "lang", "confidence", "words"] if parts else ["key", "lang", "confidence", "languages", "given"]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types)], names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, part int, lang string, confidence double, words string" if parts else f"key {kind}, lang string, confidence double, languages int"
-    return spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")).mapInArrow(run, schema)
+    schema = f"key {kind}, part int, lang string, confidence double, words string" if parts else f"key {kind}, lang string, confidence double, languages int, given string"
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), language_of_label(F.col(lang)).alias("given"))
+    return spread(narrow.where("text is not null")).mapInArrow(run, schema)
 
 
 def _stretches(key, parts: list[tuple[str, int]], of: list[int], shares: np.ndarray) -> list[tuple]:
@@ -253,17 +254,15 @@ def document_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, lang, confidence, languages): a row for each language that a document is written in, with the number of
     them. Texts without words give no row; NULL and empty texts neither. A language counts if at least one whole
     sentence outside quoted titles is in it. Where no document has a usable label, there is no model and no row."""
-    return _each(docs, key, text, fit_filter(docs, key, text, lang), False).withColumnRenamed("key", key)
+    return _each(docs, key, text, lang, fit_filter(docs, key, text, lang), False).drop("given").withColumnRenamed("key", key)
 
 
 def mixed_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, part, lang, confidence, words): the stretches of one language of each document written in several."""
-    return _each(docs, key, text, fit_filter(docs, key, text, lang), True).withColumnRenamed("key", key)
+    return _each(docs, key, text, lang, fit_filter(docs, key, text, lang), True).withColumnRenamed("key", key)
 
 
 def label_faults(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, lang) of documents whose label is missing or names another language, or which have several languages."""
-    found = document_languages(docs, key, text, lang)
-    given = docs.select(F.col(key).alias("k"), language_of_label(F.col(lang)).alias("given"))
-    j = found.join(given, F.col(key) == F.col("k"))
-    return j.where("languages > 1 or given is null or given <> lang").select(key, "lang")
+    found = _each(docs, key, text, lang, fit_filter(docs, key, text, lang), False)
+    return found.where("languages > 1 or given is null or given <> lang").select(F.col("key").alias(key), "lang")

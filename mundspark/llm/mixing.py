@@ -29,9 +29,8 @@ class Mixer:
 
     def __init__(self, docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, language: Column, topic: Column, vocabulary: str = VOCABULARY, seed: int = 13):
         self.key, self.seed = key, seed
-        n = token_ids(docs, key, F.col(text), vocabulary, counts=True)
-        cols = docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.coalesce(language, F.lit("")).alias("lang"), F.coalesce(topic, F.lit("")).alias("topic"))
-        self.docs = staged(cols.join(n.withColumnRenamed(key, "_key"), "_key").withColumnRenamed("_key", "key"), "doc-tokens")
+        cols = {"source": F.col(source), "lang": F.coalesce(language, F.lit("")), "topic": F.coalesce(topic, F.lit(""))}
+        self.docs = staged(token_ids(docs.withColumn("_doc", F.col(key)), "_doc", F.col(text), vocabulary, counts=True, keep=cols).withColumnRenamed("_doc", "key"), "doc-tokens")
         self.cells = staged(self.docs.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
         everything = self.cells.agg(F.sum("tokens")).first()[0] or 0
         have = self.cells.groupBy("source").agg(F.sum("tokens").alias("tokens"))

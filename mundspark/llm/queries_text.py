@@ -39,9 +39,8 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and tokens per source."""
-    docs = table(spark, sf, "documents")
-    n = token_ids(docs, "doc_id", F.col("text"), counts=True)
-    return docs.select("doc_id", "source").join(n, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
+    n = token_ids(table(spark, sf, "documents"), "doc_id", F.col("text"), counts=True, keep={"source": F.col("source")})
+    return n.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p8_ids": p8_ids, "p8_tokens_by_source": p8_tokens_by_source}

@@ -119,22 +119,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
-def token_ids(df: DataFrame, key: str, text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN, counts: bool = False) -> DataFrame:
-    """(key, ids) of every row of df; with counts, (key, n_tokens) instead. Repeated keys give repeated rows."""
+def token_ids(df: DataFrame, key: str, text: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN, counts: bool = False, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(key, ids) of every row of df; with counts, (key, n_tokens) instead. keep adds columns of df, by name, between the
+    two. Repeated keys give repeated rows."""
     spark = df.sparkSession
     with open(vocabulary, "rb") as f:
         lines = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary file
+    narrow = df.select(F.col(key).alias("_key"), *[c.alias(f"_{i}") for i, c in enumerate((keep or {}).values())], text.alias("_text"))
     field = T.StructField("n_tokens", T.LongType()) if counts else T.StructField("ids", T.ArrayType(T.IntegerType()))
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), field])
+    schema = T.StructType([*narrow.schema.fields[:-1], field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(read_ranks(lines.value), pattern)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                each = [encoder.encode(t) for t in part.column(1).to_pylist()]
+                each = [encoder.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 made = pa.array([len(x) for x in each], pa.int64()) if counts else pa.array(each, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=schema.names)
 
-    narrow = spread(df.select(F.col(key).alias("key"), text.alias("text")))
-    return narrow.mapInArrow(run, schema).withColumnRenamed("key", key)
+    out = spread(narrow).mapInArrow(run, schema)
+    return out.toDF(key, *(keep or {}), field.name)
