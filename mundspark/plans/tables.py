@@ -332,14 +332,13 @@ def phoneme_origin(spark, sf):
 
 
 @query(f"""with p as (select {_FILE} as file, min(case when not {_NONE} then trim(phoneme) end) as phoneme from train_phonemes where trim(audio_path) <> '' group by all)
-select u.utt_id, coalesce(p.phoneme, '') as phoneme, {_SEC} as seconds from (select *, {_FILE} as file from merged_valid) u left join p on p.file = u.file and u.file <> ''
-union all select u.utt_id, coalesce(p.phoneme, ''), {_SEC} from (select *, {_FILE} as file from merged_train where label_id = 4) u left join p on p.file = u.file and u.file <> ''""")
+select u.utt_id, coalesce(p.phoneme, '') as phoneme, {_SEC} as seconds from (select *, {_FILE} as file from {_ALL}) u left join p on p.file = u.file and u.file <> ''""")
 def phonemes_joined(spark, sf):
     """Utterances with the phonemes of their clip, one row each however often a clip was transcribed."""
     key = file_key(F.col("audio_path")).alias("file")
     good = F.when(~C.is_placeholder(F.col("phoneme"), C.PHONE_PLACEHOLDERS), F.trim("phoneme"))
     p = table(spark, sf, "train_phonemes").select(key, good.alias("phoneme")).where("file is not null").groupBy("file").agg(F.min("phoneme").alias("phoneme"))
-    u = table(spark, sf, "merged_valid").unionByName(table(spark, sf, "merged_train").where("label_id = 4")).select("utt_id", key, C.seconds(F.col("duration")).alias("seconds"))
+    u = _all(spark, sf, "utt_id", "audio_path", "duration").select("utt_id", key, C.seconds(F.col("duration")).alias("seconds"))
     return u.join(p, "file", "left").select("utt_id", F.coalesce("phoneme", F.lit("")).alias("phoneme"), "seconds")
 
 
@@ -374,11 +373,10 @@ def table_fingerprint(spark, sf):
     return reports.fingerprint(table(spark, sf, "merged_train"), ["audio_path", "sentence", "label_id"])
 
 
-@query("""select utt_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(sentence)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g')) as words from merged_test where sentence is not null and sentence = nfc_normalize(sentence)""")
+@query(r"""select utt_id, trim(regexp_replace(regexp_replace(lower(sentence), '[^\p{L}\p{M}\p{N}_\s\x{00A0}]', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) as words from merged_test""")
 def normalised_words(spark, sf):
     """Sentences in lower case without punctuation."""
-    t = table(spark, sf, "merged_test").where("sentence is not null").where(~F.col("sentence").rlike(r"\p{M}"))
-    return t.select("utt_id", words_only(F.replace("sentence", F.lit(" "), F.lit(" "))).alias("words"))
+    return table(spark, sf, "merged_test").select("utt_id", words_only(F.col("sentence")).alias("words"))
 
 
 @query()
