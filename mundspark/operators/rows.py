@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mundspark.operators.prefix import first_n
+from mundspark.operators.prefix import BUCKETS, first_n
 
 
 def seeded(key: Column, seed: int) -> Column:
@@ -59,15 +59,19 @@ def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 13) -> Da
 def holdout(df: DataFrame, key: str, share: float, at_least_one: bool = True, seed: int = 42) -> DataFrame:
     """df with a boolean is_eval: about a share of the rows by a seeded shuffle, exactly floor(n * share) of them; at
     least one of a table with rows if asked for."""
-    total = df.count()
-    n = int(total * share)
-    n = max(1, n) if at_least_one and total else n
-    h = df.withColumn("_g", F.lit(0)).withColumn("_h", seeded(F.col(key), seed)).withColumn("_u", hash_unit(F.col("_h"))).withColumn("_t", F.struct("_h", key))
-    quota = df.sparkSession.createDataFrame([(0, n)], "_g int, _n long")
-    picked = first_n(h, ["_g"], "_u", "_t", quota, "_n").select(F.col(key).alias("_k")).distinct() if n else None
-    if picked is None:
-        return df.withColumn("is_eval", F.lit(False))
-    return df.join(picked.withColumn("_e", F.lit(True)), F.col(key) == F.col("_k"), "left").select(*df.columns, F.coalesce("_e", F.lit(False)).alias("is_eval"))
+    h = df.withColumn("_h", seeded(F.col(key), seed)).withColumn("_b", F.floor(hash_unit(F.col("_h")) * BUCKETS).cast("int"))
+    counts = sorted((r[0], r[1]) for r in h.groupBy("_b").agg(F.count(F.lit(1))).collect())  # at most BUCKETS rows
+    n = int(sum(c for _, c in counts) * share)
+    n = max(1, n) if at_least_one and counts else n
+    cut, rest = BUCKETS, 0  # buckets below cut are held out whole, and so many rows of the bucket at cut
+    for bucket, c in counts:
+        if n < c:
+            cut, rest = bucket, n
+            break
+        n -= c
+    edge = h.where(F.col("_b") == cut).orderBy("_h", key).limit(rest).select(F.col(key).alias("_k"), F.lit(True).alias("_e"))
+    held = (F.col("_b") < cut) | F.coalesce("_e", F.lit(False))
+    return h.join(edge, F.col(key) == F.col("_k"), "left").select(*df.columns, held.alias("is_eval"))
 
 
 def fill_quotas(pools: list[tuple[str, DataFrame, DataFrame | None, int]], key: str, ranks: list[Column], seed: int = 42) -> DataFrame:
