@@ -145,7 +145,8 @@ def hashed_rows(weights: DataFrame, features: int = 1 << 18) -> DataFrame:
 
     slots = weights.groupBy("doc", F.pmod(F.xxhash64("term"), F.lit(features)).cast("int").alias("i")).agg(F.sum("weight").alias("v"))
     packed = slots.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
-    to = F.udf(lambda x: SparseVector(features, [p.i for p in x], [p.v for p in x]), VectorUDT())
+    # vectors have no column expression; the rows travel in Arrow batches
+    to = F.udf(lambda x: SparseVector(features, [p["i"] for p in x], [p["v"] for p in x]), VectorUDT(), useArrow=True)
     return packed.select("doc", to("x").alias("features"))
 
 
