@@ -59,9 +59,26 @@ def staged(df: DataFrame, name: str = "stage", partition_by: list[str] | None =
     path = f"{checkpoint_dir(spark)}/mundspark/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    _staged(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _staged(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_mundspark_staged"):
+        sc._mundspark_staged = []
+    return sc._mundspark_staged
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this session has staged. DataFrames that read them are of no use after it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _staged(spark)
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def width(df: DataFrame, part_bytes: int = 256 << 20) -> int:
     """Partitions for a shuffle of df whose tasks run Python and so should not be coalesced: the session's setting, or
     as many as keep a partition at part_bytes of what the plan is estimated to hold."""

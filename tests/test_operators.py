@@ -222,3 +222,13 @@ def test_conform(spark):
     assert got.audio_path == "p" and got.sentence == "x" and got.label_id == 7 and got.canton is None
     with pytest.raises(ValueError, match="nope"):
         require(df, "nope")
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from mundspark.runtime import clear, staged
+
+    d = staged(spark.range(3).toDF("id"))
+    assert d.count() == 3
+    clear(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        d.count()
