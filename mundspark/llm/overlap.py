@@ -203,6 +203,41 @@ def text_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     return same.join(ta, "class_a").join(tb, "class_b").select("train_id", "eval_id")
 
 
+#: Words of a shared span.
+SPAN = 5
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(side, speaker, utt_id, text) rows to (code, side, utt_id, at, words) of every run of SPAN words."""
+    for b in batches:
+        lists = pc.split_pattern(b.column("text"), " ")
+        offsets = lists.offsets.to_numpy()
+        codes = word_codes(lists.flatten())
+        offsets = offsets - offsets[0]
+        lengths = np.diff(offsets)
+        row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - SPAN + 1, 0))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(lengths - SPAN + 1, 0)) - np.maximum(lengths - SPAN + 1, 0), np.maximum(lengths - SPAN + 1, 0))
+        key = _mix(b.column("speaker").to_numpy().astype(np.uint64)[row])
+        for k in range(SPAN):
+            key = _mix(key * np.uint64(31) + codes[offsets[row] + at + k])
+        cols = [pa.array(key.astype(np.int64)), pa.array(b.column("side").to_numpy()[row]), pa.array(b.column("utt_id").to_numpy()[row]), pa.array(at.astype(np.int32)), pa.array(lengths[row].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, names=["code", "side", "utt_id", "at", "words"])
+
+
+def span_coverage(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """(utt_id, words, covered): how many words of each evaluation record lie in spans of SPAN words or more that some
+    training text of its speaker has too, wherever it has them. Records without a speaker or sentence, or with no such
+    span, give no row. Spans meet by their code; overlapping ones are merged."""
+    spark = train.sparkSession
+    cols = ["utt_id", "sentence", F.xxhash64(speaker_key(F.col("client_id"))).alias("speaker"), speaker_key(F.col("client_id")).isNotNull().alias("known")]
+    both = train.select(*cols, F.lit(1).alias("side")).unionByName(evaluation.select(*cols, F.lit(2).alias("side"))).where("known")
+    asked = spark.sparkContext.broadcast(bitmap(evaluation.select(*cols).where("known"), "speaker"))
+    spans = staged(_records(both, asked).select("side", "speaker", "utt_id", "text").mapInArrow(_spans, "code long, side int, utt_id long, at int, words int"), "overlap-spans")
+    shared = spans.where("side = 2").join(spans.where("side = 1").select("code").distinct(), "code", "left_semi")
+    places = F.flatten(F.transform(F.collect_set("at"), lambda a: F.sequence(a, a + SPAN - 1)))
+    return shared.groupBy("utt_id", "words").agg(F.size(F.array_distinct(places)).alias("covered"))
+
+
 def file_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(train_id, eval_id) of records whose audio_path names the same file in the same dataset."""
     a = train.select(F.col("utt_id").alias("train_id"), "dataset", file_key(F.col("audio_path")).alias("file")).where("file is not null")

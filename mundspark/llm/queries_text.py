@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mundspark.llm.overlap import cross_split_pairs
+from mundspark.llm.overlap import cross_split_pairs, span_coverage
 from mundspark.llm.tokenize import token_ids
 from mundspark.runtime import table
 
@@ -32,6 +32,12 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of each evaluation record that lie in spans of five words which its speaker says in training too."""
+    train, ev = _splits(spark, sf)
+    return span_coverage(train, ev)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id and token ids of every document."""
     return token_ids(table(spark, sf, "documents"), "doc_id", F.col("text"))
@@ -43,7 +49,7 @@ def p8_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return n.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p8_ids": p8_ids, "p8_tokens_by_source": p8_tokens_by_source}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_coverage": p1_coverage, "p8_ids": p8_ids, "p8_tokens_by_source": p8_tokens_by_source}
 _PAIRS = """
 with r as (
   select utt_id, split, dataset, regexp_extract(lower(replace(audio_path, '\\', '/')), '([^/]+?)(\\.[a-z0-9]{1,5})?$', 1) as file,
@@ -61,6 +67,11 @@ pairs as (
 """
 SQL = {
     "p1_found": _PAIRS + "select least(train_id, eval_id) as utt_id_a, greatest(train_id, eval_id) as utt_id_b from pairs",
+    "p1_coverage": _PAIRS
+    + """, t as (select utt_id, split, speaker, string_split(words, ' ') as w from r where length(speaker) = 16 and words not in ('', 'nan', 'none', 'null')),
+g as (select utt_id, split, speaker, len(w) as words, i, array_to_string(w[i + 1:i + 5], ' ') as span from (select *, unnest(range(0, len(w) - 4)) as i from t where len(w) >= 5)),
+h as (select * from g where split <> 'train' and (speaker, span) in (select (speaker, span) from g where split = 'train'))
+select utt_id, words::integer as words, count(distinct pos)::integer as covered from (select utt_id, words, unnest(range(i, i + 5)) as pos from h) group by all""",
     "p1_report": _PAIRS
     + """, hits as (select eval_id, count(*) as n from pairs group by all)
 select split, dataset, count(*) as records, count(n) as leaked, cast(coalesce(sum(n), 0) as bigint) as pairs

@@ -1,7 +1,7 @@
 import random
 
 from mundspark.functions.text import fold, same_words
-from mundspark.llm.overlap import cross_split_pairs
+from mundspark.llm.overlap import cross_split_pairs, span_coverage
 
 SCHEMA = "utt_id long, sentence string, client_id string, audio_path string, dataset string"
 H = "0123456789abcdef"
@@ -57,3 +57,11 @@ def test_against_brute_force(spark):
     # a very long sentence, and copies of it
     long = " ".join(rnd.choice(words) for _ in range(3000))
     assert pairs(spark, [(1, long, H, None, "d"), (2, long, H, None, "d")], [(3, long.replace("hund", "hunnd", 1), H, None, "d")]) == [(1, 3), (2, 3)]
+
+
+def test_coverage(spark):
+    train = [(1, "a b c d e f", H, None, None), (2, "x y z u v", H, None, None), (3, "k l m n o", "f" * 16, None, None), (9, None, None, None, None)]
+    ev = [(11, "q A b, c d e f q x y z u v", H, None, None), (12, "k l m n o", H, None, None), (13, "a b c d", H, None, None), (14, "a b c d e", None, None, None)]
+    t, e = (spark.createDataFrame(x, SCHEMA) for x in (train, ev))
+    assert [tuple(r) for r in span_coverage(t, e).collect()] == [(11, 13, 11)]
+    assert span_coverage(t.limit(0), e).count() == 0
