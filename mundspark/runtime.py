@@ -81,12 +81,13 @@ def clear(spark: SparkSession) -> None:
 
 def width(df: DataFrame, part_bytes: int = 256 << 20) -> int:
     """Partitions for a shuffle of df whose tasks run Python and so should not be coalesced: the session's setting, or
-    as many as keep a partition at part_bytes of what the plan is estimated to hold."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # an estimate that no scan stands behind says nothing
-    return least if size >= 1 << 62 else max(least, -(-size // part_bytes))
+    as many as keep a partition at part_bytes of the files that the plan reads. Estimates of joins are products and say
+    nothing of a result's size, so only the scans count."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a leaf of unknown size is estimated at the largest number there is
+    return max(least, -(-sum(x for x in sizes if x < 1 << 62) // part_bytes))
 
 
 def bitmap(df: DataFrame, col: str) -> np.ndarray:

@@ -232,3 +232,14 @@ def test_staged_tables_can_be_cleared(spark):
     clear(spark)
     with pytest.raises(Exception, match="(?i)not.*exist|not found"):
         d.count()
+
+
+def test_width_follows_the_scans(spark, tmp_path):
+    from mundspark.runtime import width
+
+    spark.range(50_000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert width(t) == least and width(t.join(t.withColumnRenamed("id", "j"), F.col("id") == F.col("j"))) == least
+    assert width(t, size // 40) in range(40, 43) and width(spark.createDataFrame([(1,)], "i int")) == least
