@@ -76,7 +76,12 @@ def first_chunks(spark, sf):
     return c.groupBy("speaker").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("_d"), 3).alias("total")).where("items >= 3")
 
 
-@query()
+_TEXTS = f"""select k, row_number() over (partition by k order by audio_path nulls first, utt_id) as o, sentence from (
+  select {_SPEAKER} as k, audio_path, utt_id, sentence from merged_train) where k <> ''"""
+
+
+@query(_recursive(_UTT, 90, "pre") + f""", t as ({_TEXTS})
+select k as speaker, chunk, count(*) as items, round(sum(d), 3) as total, coalesce(string_agg(sentence, ' ' order by o) filter (trim(sentence, ' ') <> ''), '') as document from c join t using (k, o) group by k, chunk""")
 def chunk_texts(spark, sf):
     """The chunks as documents."""
     c = greedy_chunks(_utterances(spark, sf), ["speaker"], ["audio_path", "utt_id"], F.col("_d"), 90.0)

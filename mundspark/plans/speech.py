@@ -43,7 +43,13 @@ def sentences(spark, sf):
     return transcript.sentences(table(spark, sf, "transcript_segments"), "episode_id", "segment_id")
 
 
-@query()
+@query(r"""with s as (select episode_id, segment_id, start, coalesce(text, '') as text from transcript_segments
+  where upper(trim(coalesce(speaker, ''))) <> 'UNKNOWN' and not regexp_matches(trim(coalesce(text, '')), '(?i)^\s*[\[\(\-–—\s]*musik[\]\)\-–—\s]*\.?\s*$')),
+q as (select *, trim(trim(translate(trim(regexp_replace(nfc_normalize(replace(text, '…', '...')), '[\s\x{00A0}]+', ' ', 'g'), ' '), '„“«»‚’', repeat(chr(34), 4) || chr(39) || chr(39)), chr(34) || chr(39)), '[]()') as t from s),
+n as (select *, lower(regexp_replace(t, '[.!?\s]+$', '')) as k from q),
+f as (select *, case when k = lag(k) over (partition by episode_id order by start, segment_id) then 0 else 1 end as new from n),
+i as (select *, sum(new) over (partition by episode_id order by start, segment_id) as island from f)
+select episode_id, segment_id from i qualify not (k <> '' and count(*) over (partition by episode_id, island) >= 3)""")
 def runs_dropped(spark, sf):
     """Segments left when music, unknown speakers and runs of three equal texts are gone."""
     s = table(spark, sf, "transcript_segments").select("episode_id", "segment_id", "start", "speaker", "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mundspark.functions import columns as C
 from mundspark.functions.keys import file_key
-from mundspark.functions.normalise import for_synthesis, words_only
+from mundspark.functions.normalise import NOTHING_TO_SAY, PUNCTUATION, for_synthesis, words_only
 from mundspark.functions.regions import REGIONS, region_label
 from mundspark.operators import reports, rows
 from mundspark.runtime import table
@@ -379,7 +379,14 @@ def normalised_words(spark, sf):
     return table(spark, sf, "merged_test").select("utt_id", words_only(F.col("sentence")).alias("words"))
 
 
-@query()
+def _synthesis_sql() -> str:
+    t = r"trim(regexp_replace(upper(left(sentence, 1)) || substr(sentence, 2), '[\s\x{00A0}]+', ' ', 'g'), ' ')"
+    for old, new in PUNCTUATION:
+        t = "replace({}, '{}', '{}')".format(t, old, new.replace("'", "''"))
+    return f"select utt_id, case when sentence = '' then '{NOTHING_TO_SAY}' when regexp_matches(t, '[.!?,-]$') then t else t || '.' end as text from (select utt_id, sentence, rtrim({t}, ' ') as t from merged_test)"
+
+
+@query(_synthesis_sql())
 def synthesis_text(spark, sf):
     """Sentences prepared for synthesis."""
     return table(spark, sf, "merged_test").select("utt_id", for_synthesis(F.col("sentence")).alias("text"))
