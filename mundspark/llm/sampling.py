@@ -25,26 +25,38 @@ def category(label: str = "label_id", region: str = "dialect_region") -> Column:
     return F.coalesce(F.col(label).cast("int"), region_label(F.col(region)))
 
 
+#: Least share of its count that a raked cell keeps.
+LEAST = 1e-12
+
+
 def rake(counts: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
     """Cell sizes in [0, counts] whose sums over the groups of each margin come as near to the targets as they can.
     members: for each margin the group of each cell; targets: for each margin the wanted sum of each group. The first
-    margin is fitted last in every round, so it holds best."""
-    x = counts.astype(float) * min(1.0, targets[0].sum() / max(counts.sum(), 1))
+    margin is fitted last in every round and once more at the end until it holds, as far as the counts go. A cell with
+    a count is 0 only if its group of the first margin wants nothing: what is 0 could not grow again."""
+    least = counts * LEAST * (targets[0] > 0)[members[0]]
+    x = np.maximum(counts.astype(float) * min(1.0, targets[0].sum() / max(counts.sum(), 1)), least)
+
+    def fitted(x: np.ndarray, group: np.ndarray, wanted: np.ndarray, steps: int) -> np.ndarray:
+        for _ in range(steps):  # cells that hit their count pass what they lack to the others of their group
+            at = np.bincount(group, x, len(wanted))
+            free = np.bincount(group, np.where(x < counts, x, 0), len(wanted))
+            # too large a sum shrinks with all its cells, too small a one grows by those below their count
+            factor = np.where(wanted < at, wanted / np.maximum(at, 1e-300), np.where(free > 0, 1 + (wanted - at) / np.where(free > 0, free, 1), 1.0))
+            new = np.minimum(np.maximum(np.where((wanted < at)[group] | (x < counts), x * factor[group], x), least), counts)
+            moved = np.abs(new - x).max(initial=0)
+            x = new
+            if moved < tolerance:
+                break
+        return x
+
     for _ in range(rounds):
-        before = x.copy()
+        before = x
         for group, wanted in list(zip(members, targets))[::-1]:
-            for _ in range(20):  # cells that hit their count pass what they lack to the others of their group
-                at = np.bincount(group, x, len(wanted))
-                free = np.bincount(group, np.where(x < counts, x, 0), len(wanted))
-                factor = np.where(free > 0, 1 + (wanted - at) / np.where(free > 0, free, 1), 1.0)
-                new = np.minimum(np.where(x < counts, x * np.maximum(factor, 0)[group], x * np.where(wanted < at, wanted / np.maximum(at, 1e-300), 1.0)[group]), counts)
-                moved = np.abs(new - x).max(initial=0)
-                x = new
-                if moved < tolerance:
-                    break
+            x = fitted(x, group, wanted, 20)
         if np.abs(x - before).max(initial=0) < tolerance * max(1, counts.max(initial=0)):
             break
-    return x
+    return fitted(x, members[0], targets[0], len(counts) + 2)  # a step fills a cell at least, or reaches the sum
 
 
 class Sampler:
@@ -95,6 +107,7 @@ class Sampler:
         record stands for."""
         w = staged(self.weights(), "weights")
         mean = w.groupBy("target_set", "label_id").agg((F.sum("expected") / F.sum("n")).alias("mean"))
+        # every cell of a category that wants rows expects some, see rake
         w = w.join(mean, ["target_set", "label_id"]).where("expected > 0").select("target_set", "label_id", *self.names, (F.col("expected") / F.col("n")).alias("chance"), (F.col("expected") / F.col("n") / F.col("mean")).alias("ratio"))
         r = self.rows.join(staged(w, "chances"), ["label_id", *self.names])  # as many rows as cells: broadcast while small
         u = uniform("target_set", "key", seed=self.seed)
@@ -112,6 +125,6 @@ class Sampler:
             "target_set", "label_id", "target_share", "min_rows", "wanted", "available", "drawn",
             F.when(F.col("size") > 0, F.col("drawn") / F.col("size")).alias("share"),
             (F.greatest(F.col("wanted"), F.coalesce("min_rows", F.lit(0))) - F.col("drawn")).alias("gap"),
-            ((F.col("drawn") == F.col("available")) & (F.col("available") < F.col("wanted"))).alias("short"),
+            (F.col("available") < F.col("wanted")).alias("short"),
             (F.col("drawn") < F.coalesce("min_rows", F.lit(0))).alias("below_minimum"),
         )

@@ -16,6 +16,23 @@ def test_rake():
     assert rake(np.zeros(2), [np.array([0, 1])], [np.array([0.0, 0.0])]).sum() == 0
 
 
+def test_rake_keeps_every_cell():
+    counts = np.array([1000.0, 10000, 10, 20, 1000, 50])
+    c, m = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])
+    wanted = np.array([1208.0, 30, 1050])  # all that the second and the third group have
+    x = rake(counts, [c, m], [wanted, np.bincount(m, counts) / counts.sum() * wanted.sum()])
+    assert (x > 0).all() and (x <= counts).all() and np.allclose(np.bincount(c, x), wanted) and np.allclose(x[2:], counts[2:])
+
+
+def test_short_categories_are_drawn_whole(spark):
+    cells = {(0, "a"): 100, (0, "b"): 1000, (1, "a"): 1, (1, "b"): 2, (2, "a"): 100, (2, "b"): 5}
+    rows = [(f"{c}{m}{i}", c, None, m) for (c, m), n in cells.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, label_id int, dialect_region string, dataset string")
+    t = spark.createDataFrame([("t", 0.3, c, 1 / 3, 0) for c in range(3)], "target_set string, sample_share double, label_id int, target_share double, min_rows int")
+    r = {x.label_id: (x.drawn, x.available, x.short) for x in Sampler(df, t, "id", category(), ["dataset"]).report().collect()}
+    assert r == {0: (121, 1100, False), 1: (3, 3, True), 2: (105, 105, True)}
+
+
 def test_sampler(spark):
     rows = [(i, i % 3 if i % 7 else None, "Basel" if i % 7 == 0 and i % 2 else None, "d" if i % 5 else None, "g") for i in range(3000)] + [(9000 + i, 4, None, "d", None) for i in range(5)]
     df = spark.createDataFrame(rows, "id long, label_id int, dialect_region string, dataset string, gender string").withColumn("order", F.lit(1)).withColumn("weight", F.lit(0))
