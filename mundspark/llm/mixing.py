@@ -4,7 +4,7 @@ Token counts are gathered in cells of source, language and topic. For each mix t
 the wanted tokens of the sources and to the languages' and topics' shares of the tokens of those sources, no cell above
 max_repeat times its tokens. A cell's rate, raked tokens by its own, is the number of copies each of its documents
 should have: the whole part is given to all of them, the rest to documents in the order of weighted exponential keys
-until the source's tokens are reached. Only cells of listed sources are gathered, one row for each combination.
+until the source's tokens are reached, and if these do not suffice to any document below max_repeat. Only cells of listed sources are gathered, one row for each combination.
 """
 
 from __future__ import annotations
@@ -68,9 +68,11 @@ class Mixer:
         d = d.withColumn("whole", whole).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
         given = d.groupBy("mix_name", "source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("given"), F.max("part").alias("most"))
         d = d.join(staged(given, "mix-given"), ["mix_name", "source"])  # one row for each target: broadcast while small
-        more = d.where((F.col("part") > 1e-9) & (F.col("whole") < F.col("max_repeat")))
-        order = 1 - F.exp(F.log1p(-uniform("mix_name", "key", seed=self.seed)) / (F.col("part") / F.col("most")))
-        more = more.select("mix_name", "source", "key", "n_tokens", F.least(order, F.lit(1 - 1e-12)).alias("order"), (F.col("aim") - F.col("given")).alias("left"))
+        more = d.where((F.col("given") < F.col("aim")) & (F.col("whole") < F.col("max_repeat")))
+        u = uniform("mix_name", "key", seed=self.seed)
+        keyed = F.least(1 - F.exp(F.log1p(-u) / (F.col("part") / F.col("most"))), F.lit(1 - 1e-12))
+        order = F.when(F.col("part") > 1e-9, keyed / 2).otherwise((1 + u) / 2)  # cells with no part of a copy left come last
+        more = more.select("mix_name", "source", "key", "n_tokens", order.alias("order"), (F.col("aim") - F.col("given")).alias("left"))
         more = running_before(more, ["mix_name", "source"], "order", "key", "n_tokens", "before").where("before + n_tokens / 2 <= left")
         extra = more.select("mix_name", "key", F.lit(1).alias("extra"))
         j = d.join(extra, ["mix_name", "key"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))

@@ -70,6 +70,17 @@ def test_mixer(spark):
     assert e.copies().count() == 0 and e.report().count() == 4
 
 
+def test_mixer_short_source_uses_every_document(spark):
+    cells = {("a", "x"): 4, ("a", "y"): 10, ("b", "x"): 60, ("b", "y"): 200, ("c", "x"): 60, ("c", "y"): 10}
+    docs = [(f"{s}{lang}{i}", "wort " * 5, s, lang) for (s, lang), n in cells.items() for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, source string, lang string")
+    t = spark.createDataFrame([("m", 0.5, "a", 0.48, 1), ("m", 0.5, "b", 0.02, 1), ("m", 0.5, "c", 0.49, 1)], "mix_name string, size_share double, source string, weight double, max_repeat int")
+    r = {x.source: x for x in Mixer(df, t, "doc_id", "text", "source", F.col("lang"), F.lit("")).report().collect()}
+    for s, n in (("a", 14), ("c", 70)):
+        assert r[s].short and r[s].actual == r[s].reachable and r[s].documents == n
+    assert not r["b"].short and r["b"].documents == 3
+
+
 @pytest.mark.parametrize("repeat", [1, 3])
 def test_mixer_repeats_small_sources(spark, repeat):
     df = spark.createDataFrame([(i, "wort " * 10, "small" if i < 10 else "rest", "de") for i in range(100)], "doc_id long, text string, source string, lang string")
