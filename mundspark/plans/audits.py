@@ -30,8 +30,20 @@ r as (select *, row_number() over (partition by label order by n desc, term) as
 select label, term, n, t as rank, 'top' as side from r where t <= 10 union all select label, term, n, b, 'bottom' from r where b <= 10""")
 def class_terms(spark, sf):
     """The ten most and least frequent phoneme 2-grams of each label."""
+    return _class_terms(spark, sf, (2,))
+
+
+@query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), n as (select p.label, term, count(*) as n from g join p using (doc) where p.label is not null group by all),
+r as (select *, row_number() over (partition by label order by n desc, term) as t, row_number() over (partition by label order by n, term) as b from n)
+select label, term, n, t as rank, 'top' as side from r where t <= 10 union all select label, term, n, b, 'bottom' from r where b <= 10""")
+def class_terms_full(spark, sf):
+    """The ten most and least frequent phoneme 2- to 4-grams of each label."""
+    return _class_terms(spark, sf)
+
+
+def _class_terms(spark, sf, sizes=features.SIZES):
     clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    n = features.term_counts(clips, "doc", F.col("phoneme"), (2,), drop=_DROP).join(clips.select("doc", "label"), "doc").groupBy("label", "term").agg(F.sum("tf").alias("n"))
+    n = features.term_counts(clips, "doc", F.col("phoneme"), sizes, drop=_DROP).join(clips.select("doc", "label"), "doc").groupBy("label", "term").agg(F.sum("tf").alias("n"))
     return selection.top_and_bottom(n, "label", "n", "term", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -108,7 +120,7 @@ def embedding_probe(spark, sf):
 def speaker_probabilities(spark, sf):
     """Mean, median and largest probability of High German over each speaker's clips."""
     clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), (2,), drop=_DROP), "counts")
+    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), drop=_DROP), "counts")
     nb = features.NaiveBayes.fit(counts, clips.select("doc", (F.col("label") == 7).cast("int").alias("label")))
     owner = table(spark, sf, "merged_train").select(file_key(F.col("audio_path")).alias("doc"), speaker_key(F.col("client_id")).alias("group")).where("doc is not null and group is not null").groupBy("doc").agg(F.min("group").alias("group"))
     p = nb.probabilities(counts, clips.select("doc").join(owner.select("doc"), "doc", "left_semi"))

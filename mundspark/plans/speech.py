@@ -141,8 +141,21 @@ u as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as w from w
 select doc, count(*) as terms, round(max(w), 6) as largest, round(sum(w), 5) as total from u group by all""")
 def tfidf_rows(spark, sf):
     """TF-IDF rows of the clips' 2-grams, summed up per clip."""
+    return _tfidf(spark, sf, (2,))
+
+
+@query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), c as (select doc, term, count(*) as tf from g group by all), v as (select term, count(*) as df from c group by all having count(*) >= 2), n as (select count(*) as n from p),
+w as (select doc, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) as w from c join v using (term) cross join n),
+u as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as w from w)
+select doc, count(*) as terms, round(max(w), 6) as largest, round(sum(w), 5) as total from u group by all""")
+def tfidf_rows_full(spark, sf):
+    """TF-IDF rows of the clips' 2- to 4-grams, summed up per clip."""
+    return _tfidf(spark, sf)
+
+
+def _tfidf(spark, sf, sizes=features.SIZES) -> DataFrame:
     clips = staged(_clips(spark, sf), "clips")
-    counts = features.term_counts(clips, "doc", F.col("phoneme"), (2,), drop=_DROP)
+    counts = features.term_counts(clips, "doc", F.col("phoneme"), sizes, drop=_DROP)
     w = features.tfidf(counts, features.vocabulary(counts), clips.count())
     return w.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.sum("weight"), 5).alias("total"))
 
@@ -169,12 +182,19 @@ s as (select h.doc, d.label, d.prior + coalesce(sum(hk.tf * ln((coalesce(tf.n, 0
 qualify row_number() over (partition by doc order by score desc, label) = 1""")
 def bayes_labels(spark, sf):
     """Labels of held-out clips by multinomial naive Bayes on phoneme 2-grams."""
+    return _bayes(spark, sf, (2,))[1].withColumn("confidence", F.round("confidence", 5))
+
+
+@query(f"""with {_bayes_sql("label", features.SIZES)} select doc, label, round(1 / sum(exp(score - m)) over (partition by doc), 5) as confidence from (select *, max(score) over (partition by doc) as m from s)
+qualify row_number() over (partition by doc order by score desc, label) = 1""")
+def bayes_labels_full(spark, sf):
+    """Labels of held-out clips by multinomial naive Bayes on phoneme 2- to 4-grams."""
     return _bayes(spark, sf)[1].withColumn("confidence", F.round("confidence", 5))
 
 
-def _bayes(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _bayes(spark, sf, sizes=features.SIZES) -> tuple[DataFrame, DataFrame]:
     clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), (2,), drop=_DROP), "counts")
+    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), sizes, drop=_DROP), "counts")
     nb = features.NaiveBayes.fit(counts, clips.where(~_held()).select("doc", "label"))
     held = clips.where(_held()).select("doc")
     return clips, nb.predict(counts.join(held, "doc", "left_semi"), held)
@@ -184,7 +204,7 @@ def _bayes(spark, sf) -> tuple[DataFrame, DataFrame]:
 def two_stage_labels(spark, sf):
     """Speakers labelled in two stages from the mean probabilities of their clips: German or not, then the region."""
     clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), (2, 3), drop=_DROP), "counts")
+    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), drop=_DROP), "counts")
     fit = clips.where(~_held())
     binary = features.NaiveBayes.fit(counts, fit.select("doc", (F.col("label") == 7).cast("int").alias("label")))
     fine = features.NaiveBayes.fit(counts, fit.where("label < 7").select("doc", "label"))
@@ -198,11 +218,11 @@ def two_stage_labels(spark, sf):
 def linear_labels(spark, sf):
     """Accuracy of a balanced logistic regression on hashed TF-IDF rows of held-out clips."""
     clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), (2,), lower=False, drop=_DROP), "counts")
+    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), lower=False, drop=_DROP), "counts")
     w = staged(features.tfidf(counts, features.vocabulary(counts), clips.count()), "weights")
     labels = clips.select("doc", F.col("label").cast("double").alias("label"))
-    model, _ = features.linear_model(w.join(clips.where(~_held()).select("doc"), "doc", "left_semi"), labels.where(~_held()), 1 << 12, iterations=15)
-    rows = features.hashed_rows(w.join(clips.where(_held()).select("doc"), "doc", "left_semi"), 1 << 12).join(labels, "doc")
+    model, _ = features.linear_model(w.join(clips.where(~_held()).select("doc"), "doc", "left_semi"), labels.where(~_held()))
+    rows = features.hashed_rows(w.join(clips.where(_held()).select("doc"), "doc", "left_semi")).join(labels, "doc")
     return metrics.summary(metrics.confusion(model.transform(rows), "label", "prediction"))
 
 
@@ -254,8 +274,22 @@ k as (select "true" as label, sum(n)::bigint as support, coalesce(sum(n) filter
 o as (select *, support - correct - neighbour as other, (select count(*) from e where a = label) / 6 as chance from k)
 select label, support, correct, neighbour, other, coalesce(neighbour / nullif(neighbour + other, 0), 0) as neighbour_share, chance, coalesce(neighbour / nullif(neighbour + other, 0), 0) / chance as lift from o""")
 def neighbour_errors(spark, sf):
-    """Errors of naive Bayes with neighbouring regions and others, and their lift."""
-    clips, found = _bayes(spark, sf)
+    """Errors of naive Bayes on 2-grams with neighbouring regions and others, and their lift."""
+    return _neighbours(spark, sf, (2,))
+
+
+@query(f"""with {_bayes_sql("label", features.SIZES)}, b as (select doc, label from s qualify row_number() over (partition by doc order by score desc, label) = 1),
+cm as (select p.label as "true", b.label as pred, count(*) as n from b join p using (doc) group by all), e(a, b) as (values {_EDGES}),
+k as (select "true" as label, sum(n)::bigint as support, coalesce(sum(n) filter ("true" = pred), 0)::bigint as correct, coalesce(sum(n) filter ("true" <> pred and exists (select 1 from e where a = "true" and b = pred)), 0)::bigint as neighbour from cm where "true" < 7 group by all),
+o as (select *, support - correct - neighbour as other, (select count(*) from e where a = label) / 6 as chance from k)
+select label, support, correct, neighbour, other, coalesce(neighbour / nullif(neighbour + other, 0), 0) as neighbour_share, chance, coalesce(neighbour / nullif(neighbour + other, 0), 0) / chance as lift from o""")
+def neighbour_errors_full(spark, sf):
+    """Errors of naive Bayes on 2- to 4-grams with neighbouring regions and others, and their lift."""
+    return _neighbours(spark, sf)
+
+
+def _neighbours(spark, sf, sizes=features.SIZES) -> DataFrame:
+    clips, found = _bayes(spark, sf, sizes)
     return metrics.neighbour_table(metrics.confusion(found.join(clips.select("doc", F.col("label").alias("true")), "doc"), "true", "label"))
 
 

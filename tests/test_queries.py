@@ -1,8 +1,11 @@
 """Every core query against its SQL on the smallest tables, or that it gives rows."""
 
+import inspect
+
 import oracle
 import pytest
 
+from mundspark.operators import features
 from mundspark.plans import catalogue
 
 NAMES = [(n, n in m.SQL) for m in catalogue.MODULES for n in m.QUERIES]
@@ -22,3 +25,34 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+class Called(Exception):
+    pass
+
+
+def arguments(query, spark, monkeypatch, name):
+    """The arguments, defaults included, with which a query first calls a function of features."""
+    signature = inspect.signature(getattr(features, name))
+
+    def stop(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Called(bound.arguments)
+
+    monkeypatch.setattr(features, name, stop)
+    with pytest.raises(Called) as e:
+        query(spark, oracle.SF)
+    return e.value.args[0]
+
+
+@pytest.mark.parametrize("name", ["tfidf_rows_full", "bayes_labels_full", "two_stage_labels", "linear_labels", "neighbour_errors_full", "class_terms_full", "speaker_probabilities"])
+def test_whole_vectoriser(spark, monkeypatch, name):
+    query = next(m.QUERIES[name] for m in catalogue.MODULES if name in m.QUERIES)
+    assert arguments(query, spark, monkeypatch, "term_counts")["sizes"] == (2, 3, 4)
+
+
+def test_whole_linear_model(spark, monkeypatch):
+    query = next(m.QUERIES["linear_labels"] for m in catalogue.MODULES if "linear_labels" in m.QUERIES)
+    a = arguments(query, spark, monkeypatch, "linear_model")
+    assert (a["features"], a["iterations"]) == (1 << 18, 50)
