@@ -202,9 +202,10 @@ def containers(items: DataFrame, key: str, owner: Column, length: Column, text:
 def fill_report(placed: DataFrame, capacity: int) -> DataFrame:
     """One row: containers, used and unused units, share filled, the least number of containers that any packing needs,
     items without a place."""
-    own = placed.where("container is not null").groupBy("owner", "container").agg(F.sum("length").alias("used"))
-    per = own.groupBy("owner").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("used"))
+    own = placed.groupBy("owner", "container").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("_n"))
+    per = own.groupBy("owner").agg(F.count("container").alias("containers"), F.sum("used").alias("used"), F.sum(F.when(F.col("container").isNull(), F.col("_n"))).alias("unplaced"))
     return per.agg(
         F.sum("containers").alias("containers"), F.sum("used").alias("used"), (F.sum("containers") * capacity - F.sum("used")).alias("unused"),
-        (F.sum("used") / (F.sum("containers") * capacity)).alias("filled"), F.sum(F.ceil(F.col("used") / capacity)).alias("least_containers"),
+        (F.sum("used") / F.nullif(F.sum("containers") * capacity, F.lit(0))).alias("filled"), F.sum(F.ceil(F.col("used") / capacity)).alias("least_containers"),
+        F.coalesce(F.sum("unplaced"), F.lit(0)).alias("unplaced"),
     )

@@ -59,3 +59,9 @@ def test_pack_prefers_neighbours_and_fills():
     assert sorted(map(sorted, boxes)) == [[0, 2], [1, 3]]
     assert sorted(map(len, pack([60, 40, 50, 30, 20], [[], [], [], [], []], 100, np.ones(10), 1.0))) in ([2, 3], [1, 2, 2])
     assert pack([], [], 10, np.ones(1), 1.0) == []
+
+
+def test_fill_report_counts_items_without_a_place(spark):
+    rows = [("a", "c1", 60), ("a", "c1", 30), ("a", None, None), ("b", None, None), (None, None, None), ("b", "c2", 100)]
+    f = fill_report(spark.createDataFrame(rows, "owner string, container string, length long"), 100).first()
+    assert (f.containers, f.used, f.unused, f.least_containers, f.unplaced) == (2, 190, 10, 2, 3)
