@@ -33,7 +33,7 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of each evaluation record that lie in spans of five words which its speaker says in training too."""
+    """Words of each evaluation record that lie in spans of five words which its speaker says in training too; a shorter record is one span."""
     train, ev = _splits(spark, sf)
     return span_coverage(train, ev)
 
@@ -70,8 +70,11 @@ SQL = {
     "p1_coverage": _PAIRS
     + """, t as (select utt_id, split, speaker, string_split(words, ' ') as w from r where length(speaker) = 16 and words not in ('', 'nan', 'none', 'null')),
 g as (select utt_id, split, speaker, len(w) as words, i, array_to_string(w[i + 1:i + 5], ' ') as span from (select *, unnest(range(0, len(w) - 4)) as i from t where len(w) >= 5)),
-h as (select * from g where split <> 'train' and (speaker, span) in (select (speaker, span) from g where split = 'train'))
-select utt_id, words::integer as words, count(distinct pos)::integer as covered from (select utt_id, words, unnest(range(i, i + 5)) as pos from h) group by all""",
+h as (select * from g where split <> 'train' and (speaker, span) in (select (speaker, span) from g where split = 'train')),
+k as (select e.utt_id, len(e.w) as words from t e where e.split <> 'train' and len(e.w) < 5 and exists (
+  select 1 from t x where x.split = 'train' and x.speaker = e.speaker and contains(' ' || array_to_string(x.w, ' ') || ' ', ' ' || array_to_string(e.w, ' ') || ' ')))
+select utt_id, words::integer as words, count(distinct pos)::integer as covered from (select utt_id, words, unnest(range(i, i + 5)) as pos from h) group by all
+union all select utt_id, words::integer, words::integer from k""",
     "p1_report": _PAIRS
     + """, hits as (select eval_id, count(*) as n from pairs group by all)
 select split, dataset, count(*) as records, count(n) as leaked, cast(coalesce(sum(n), 0) as bigint) as pairs
