@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mundspark.functions.text import nfkc
+
 #: Region of each canton (fixed values).
 CANTON_REGION = {
     "AG": "Zürich", "ZH": "Zürich", "ZG": "Zürich",
@@ -15,8 +17,10 @@ CANTON_REGION = {
 }
 #: Characters that mark a text as phonemes (fixed values).
 PHONE_MARKS = "ːʃʒŋɲɡɾʊəɔœɐʏθðçɕʑɽɸβɣʁʔ"
-#: Scripts that a German transcript does not use: kana, CJK, Hangul, Greek, Cyrillic (fixed values).
-FOREIGN_SCRIPT = r"[぀-ヿㇰ-ㇿ一-鿿가-힯ᄀ-ᇿͰ-ϿЀ-ԯ]"
+#: Scripts that a German transcript does not use (fixed values).
+FOREIGN_SCRIPTS = ("Hiragana", "Katakana", "Han", "Hangul", "Greek", "Cyrillic")
+#: The word that a transcript puts for music, the dashes around it, and the marks of the end of a sentence and of a quotation after it (fixed values).
+MUSIC, DASHES, SENTENCE_ENDS, CLOSING_QUOTES = "musik", "-–—", ".!?", "»\"'"
 #: Tokens that count as a missing value, and those of phoneme checks besides (fixed values).
 PLACEHOLDERS = ("", "nan", "null", "none")
 PHONE_PLACEHOLDERS = (*PLACEHOLDERS, "no_phoneme", "error")
@@ -75,8 +79,10 @@ def phoneme_like(c: Column) -> Column:
 
 
 def is_music(c: Column) -> Column:
-    """Nothing but a music note, in brackets or between dashes or bare."""
-    return F.coalesce(strip(c).rlike(r"(?i)^\s*[\[\(\-–—\s]*musik[\]\)\-–—\s]*\.?\s*$"), F.lit(False))
+    """Nothing but the word for music, with opening brackets, dashes and spaces before it, closing ones after it, and then
+    perhaps a full stop. Wide and other compatible letters count as plain ones."""
+    t = F.regexp_replace(F.rtrim(nfkc(c), F.lit(SPACE)), r"\.$", "")
+    return F.coalesce(F.lower(F.rtrim(F.ltrim(t, F.lit(SPACE + "[(" + DASHES)), F.lit(SPACE + "])" + DASHES))) == MUSIC, F.lit(False))
 
 
 def is_unknown_speaker(c: Column) -> Column:
@@ -84,12 +90,15 @@ def is_unknown_speaker(c: Column) -> Column:
 
 
 def has_foreign_script(c: Column) -> Column:
-    return F.coalesce(c.rlike(FOREIGN_SCRIPT), F.lit(False))
+    """Whether any letter belongs to a script that German does not use."""
+    return F.coalesce(c.rlike("[" + "".join(rf"\p{{Is{x}}}" for x in FOREIGN_SCRIPTS) + "]"), F.lit(False))
 
 
 def ends_sentence(c: Column) -> Column:
-    """Ends with . ! or ?, perhaps followed by one closing quote."""
-    return F.coalesce(c.rlike(r"""[.!?]\s*(?:[»"'])?\s*$"""), F.lit(False))
+    """Whether the last character, but for white space and one closing quotation mark, ends a sentence."""
+    t = F.rtrim(c, F.lit(SPACE))
+    t = F.when(F.right(t, F.lit(1)).isin(*CLOSING_QUOTES), F.rtrim(F.left(t, F.length(t) - 1), F.lit(SPACE))).otherwise(t)
+    return F.coalesce(F.right(t, F.lit(1)).isin(*SENTENCE_ENDS), F.lit(False))
 
 
 def completeness(*cols: Column) -> Column:

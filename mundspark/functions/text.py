@@ -23,6 +23,12 @@ def is_missing(c: Column, tokens: tuple[str, ...] = ("", "nan", "none", "null"))
     return c.isNull() | F.lower(F.trim(c)).isin(*tokens)
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatible composed form, which the JVM has no function for: a pandas UDF, which ASCII texts pass by."""
+    form = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)).astype(object), "string")
+    return F.coalesce(form(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+
+
 def fold_array(texts: pa.Array, umlauts: bool = True) -> pa.Array:
     """Words of each text, in lower case, NFKC, joined by one space; letters and digits only. umlauts: ä, ö, ü, ß are
     written ae, oe, ue, ss. NULL stays NULL."""

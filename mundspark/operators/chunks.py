@@ -222,6 +222,15 @@ def chunk_documents(df: DataFrame, keys: list[str], order: list[str], chunk: str
     return df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("items"), F.sum(size).alias("total"), F.array_join(texts, " ").alias("document"))
 
 
+def _earliest(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each key by order. Parts of a key, by a hash of the order, are ranked alone, and only the
+    first rows of the parts are ranked together; the first `most` of a key are among them."""
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    w = Window.partitionBy(*keys, "_part").orderBy(*order)
+    near = df.withColumn("_part", part).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r", "_part")
+
+
 def cycled(df: DataFrame, keys: list[str], order: list[str], size: Column, text: str, target: float, most: int = 10_000, block: int = BLOCK) -> DataFrame:
     """One row a document for each key: the chunks of a key whose items reach the target, else one document of its
     items repeated in turn until they do (at most `most` items; items without a size count 5); a key whose sizes sum to
@@ -233,9 +242,8 @@ def cycled(df: DataFrame, keys: list[str], order: list[str], size: Column, text:
     long = greedy_chunks(j.where(F.col("_total") >= target).withColumn("_d", used), keys, order, F.col("_d"), target, "pre", block)
     long = chunk_documents(long, keys, order, "chunk", text, "_d").select(*keys, "chunk", "items", "document")
     # no more than `most` items can be used, whatever the key has
-    rank = Window.partitionBy(*keys).orderBy(*order)
-    few = j.where(F.col("_total") < target).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= most)
-    item = F.struct(F.col("_r"), used.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    few = _earliest(j.where(F.col("_total") < target), keys, order, most)
+    item = F.struct(F.struct(*order).alias("_r"), used.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     packed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("i"), F.max("_total").alias("_total"))
     once = "aggregate(i, 0D, (a, x) -> a + x.d)"
     # whole turns that stay below the target, then items until it is reached

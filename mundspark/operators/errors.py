@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from mundspark.functions.normalise import words_only
 
 
+#: The private-use planes, whose characters stand for the different tokens of a pair.
+_PLANES = 0xF0000
+
+
 def token_distance(a: str, b: str) -> Column:
-    """Edit distance of two array columns, given by name or expression text: a fold over the rows of the table that keeps
-    one row."""
-    return F.expr(f"""case when size({a}) = 0 then size({b}) when size({b}) = 0 then size({a}) else element_at(
-      aggregate({a}, sequence(0, size({b})), (row, x) -> aggregate(sequence(1, size({b})), array(row[0] + 1),
-        (new, j) -> concat(new, array(least(new[j - 1] + 1, row[j] + 1, row[j - 1] + case when x = {b}[j - 1] then 0 else 1 end))))), -1) end""")
+    """Edit distance of two array columns, given by name: each different token of the pair is written as one character of
+    its own, and the strings are compared letter by letter. A pair may have some 130,000 different tokens."""
+    number = f"map_from_entries(transform(array_distinct(concat({a}, {b})), (t, i) -> struct(t, i)))"
+    # a character is made from its UTF-32 bytes
+    spell = lambda x: f"array_join(transform({x}, t -> decode(unhex(lpad(hex({_PLANES} + n[t]), 8, '0')), 'UTF-32')), '')"
+    return F.expr(f"element_at(transform(array({number}), n -> levenshtein({spell(a)}, {spell(b)})), 1)")
 
 
 def error_rates(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -37,14 +42,25 @@ def corpus_rates(rates: DataFrame, *groups: str) -> DataFrame:
 
 
 def _grams(tokens: str, n: int, sep: str) -> str:
-    return f"transform(sequence(1, greatest(size({tokens}) - {n} + 1, 0)), i -> array_join(slice({tokens}, i, {n}), '{sep}'))"
+    """The n-grams of an array column, sorted."""
+    return f"sort_array(case when size({tokens}) < {n} then cast(array() as array<string>) else transform(sequence(1, size({tokens}) - {n} + 1), i -> array_join(slice({tokens}, i, {n}), '{sep}')) end)"
+
+
+def _runs(grams: str) -> str:
+    """How often each different n-gram of a sorted array occurs, as a map: runs are told by where they begin."""
+    begins = f"filter(transform({grams}, (g, i) -> case when i = 0 or g <> {grams}[i - 1] then i end), i -> i is not null)"
+    return f"""element_at(transform(array({begins}), b -> map_from_entries(transform(b, (i, k) -> struct({grams}[i], case when k + 1 < size(b) then b[k + 1] else size({grams}) end - i)))), 1)"""
 
 
-def _matches(a: str, b: str, n: int, sep: str) -> tuple[Column, Column, Column]:
-    """(clipped matches, n-grams of a, n-grams of b) of one pair."""
-    have = lambda t: f"case when size({t}) < {n} then cast(array() as array<string>) else {_grams(t, n, sep)} end"
-    hit = F.expr(f"aggregate(array_distinct({have(a)}), 0L, (s, g) -> s + least(size(filter({have(a)}, x -> x = g)), size(filter({have(b)}, x -> x = g))))")
-    return hit, F.expr(f"cast(greatest(size({a}) - {n} + 1, 0) as bigint)"), F.expr(f"cast(greatest(size({b}) - {n} + 1, 0) as bigint)")
+def _counts(df: DataFrame, orders: range, sep: str) -> DataFrame:
+    """df with columns m1, h1, r1, m2, ...: clipped matches of the n-grams of array columns _h and _r, and the n-grams of
+    either. n-grams are sorted and counted once for each side."""
+    for n in orders:
+        df = df.withColumn("_gh", F.expr(_grams("_h", n, sep))).withColumn("_gr", F.expr(_grams("_r", n, sep)))
+        df = df.withColumn("_ch", F.expr(_runs("_gh"))).withColumn("_cr", F.expr(_runs("_gr")))
+        hit = F.expr("aggregate(map_entries(_ch), 0L, (s, e) -> s + least(e.value, coalesce(try_element_at(_cr, e.key), 0)))")
+        df = df.withColumn(f"m{n}", hit).withColumn(f"h{n}", F.size("_gh").cast("long")).withColumn(f"r{n}", F.size("_gr").cast("long"))
+    return df.drop("_gh", "_gr", "_ch", "_cr")
 
 
 def bleu(df: DataFrame, reference: str, hypothesis: str, *groups: str) -> DataFrame:
@@ -53,9 +69,8 @@ def bleu(df: DataFrame, reference: str, hypothesis: str, *groups: str) -> DataFr
     d = df.select(*groups, F.split(F.trim(reference), r"\s+").alias("_r"), F.split(F.trim(hypothesis), r"\s+").alias("_h"))
     aggs = [F.sum(F.size("_r")).alias("rl"), F.sum(F.size("_h")).alias("hl")]
     for n in range(1, 5):
-        hit, of, _ = _matches("_h", "_r", n, "\\u0001")
-        aggs += [F.sum(hit).alias(f"m{n}"), F.sum(of).alias(f"t{n}")]
-    s = d.groupBy(*groups).agg(*aggs)
+        aggs += [F.sum(f"m{n}").alias(f"m{n}"), F.sum(f"h{n}").alias(f"t{n}")]
+    s = _counts(d, range(1, 5), "\\u0001").groupBy(*groups).agg(*aggs)
     smooth, log = F.lit(1.0), F.lit(0.0)
     for n in range(1, 5):
         smooth = F.when(F.col(f"m{n}") == 0, smooth * 2).otherwise(smooth)
@@ -71,9 +86,8 @@ def chrf(df: DataFrame, reference: str, hypothesis: str, *groups: str, order: in
     d = df.select(*groups, chars(reference).alias("_r"), chars(hypothesis).alias("_h"))
     aggs = []
     for n in range(1, order + 1):
-        hit, h, r = _matches("_h", "_r", n, "")
-        aggs += [F.sum(hit).alias(f"m{n}"), F.sum(h).alias(f"h{n}"), F.sum(r).alias(f"r{n}")]
-    s = d.groupBy(*groups).agg(*aggs)
+        aggs += [F.sum(f"{x}{n}").alias(f"{x}{n}") for x in "mhr"]
+    s = _counts(d, range(1, order + 1), "").groupBy(*groups).agg(*aggs)
     total, used = F.lit(0.0), F.lit(0)
     for n in range(1, order + 1):
         both = (F.col(f"h{n}") > 0) & (F.col(f"r{n}") > 0)

@@ -1,12 +1,18 @@
-"""Text features and classifiers in long form: n-grams, TF-IDF, multinomial naive Bayes, two-stage labels.
+"""Text features and classifiers: n-grams, TF-IDF, multinomial naive Bayes, two-stage labels.
 
-A document-term table is (doc, term, tf). Nothing is densified: vocabularies and models are tables that are joined."""
+A document-term table is either long, (doc, term, tf), or has one row for each document with an array of its terms. In the
+latter n-grams are counted within the row, by 64-bit codes, so that nothing is shuffled but what is summed up by term.
+Nothing is densified: vocabularies and models are tables that are joined."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mundspark.runtime import staged
+
 #: Smoothing of naive Bayes, sizes of n-grams, least document frequency.
 ALPHA, SIZES, MIN_DF = 0.1, (2, 3, 4), 2
 
@@ -30,6 +36,23 @@ def term_counts(df: DataFrame, doc: str, text: Column, sizes: tuple[int, ...] =
     return d.select("doc", F.explode(ngrams("_t", sizes)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_arrays(df: DataFrame, doc: str, text: Column, keep: tuple[str, ...] = (), sizes: tuple[int, ...] = SIZES, lower: bool = True, drop: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, keep..., terms): one row for each row of df, whose doc is unique; terms is an array of (term, tf), term being
+    the 64-bit code of an n-gram."""
+    h = F.transform(tokens(text, lower, drop), lambda x: F.xxhash64(x))
+    d = df.select(F.col(doc).alias("doc"), *keep, h.alias("_h"))
+    each = [f"case when size(_h) >= {n} then transform(sequence(0, size(_h) - {n}), i -> xxhash64({', '.join(f'_h[i + {k}]' for k in range(n))})) else cast(array() as array<bigint>) end" for n in sizes]
+    d = d.select("doc", *keep, F.sort_array(F.expr(f"concat({', '.join(each)})")).alias("_g"))
+    begins = "case when size(_g) = 0 then cast(array() as array<int>) else filter(sequence(0, size(_g) - 1), i -> i = 0 or _g[i] <> get(_g, i - 1)) end"
+    d = d.select("doc", *keep, "_g", F.expr(begins).alias("_b"))
+    return d.select("doc", *keep, F.expr("transform(_b, (i, k) -> struct(_g[i] as term, cast(coalesce(get(_b, k + 1), size(_g)) - i as bigint) as tf))").alias("terms"))
+
+
+def in_rows(arrays: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., term, tf) of term_arrays."""
+    return arrays.select(*keep, F.inline("terms"))
+
+
 def vocabulary(counts: DataFrame, min_df: int = MIN_DF, max_df: float = 1.0, docs: int | None = None) -> DataFrame:
     """(term, df, cf) of the terms in at least min_df documents and at most a share max_df of them."""
     v = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
@@ -37,70 +60,96 @@ def vocabulary(counts: DataFrame, min_df: int = MIN_DF, max_df: float = 1.0, doc
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, docs: int) -> DataFrame:
-    """(doc, term, weight): sublinear term frequency 1 + ln tf, smooth idf ln((1 + n) / (1 + df)) + 1, rows of unit
-    length."""
+    """(doc, terms): an array of (term, weight) for each document with known terms. Sublinear term frequency 1 + ln tf,
+    smooth idf ln((1 + n) / (1 + df)) + 1, rows of unit length."""
     w = counts.join(vocab.select("term", "df"), "term")
-    w = w.withColumn("_w", (1 + F.log("tf")) * (F.log(F.lit(1.0 + docs) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc")))
-    return w.select("doc", "term", (F.col("_w") / norm).alias("weight"))
+    w = w.select("doc", "term", ((1 + F.log("tf")) * (F.log(F.lit(1.0 + docs) / (1 + F.col("df"))) + 1)).alias("_w"))
+    g = w.groupBy("doc").agg(F.collect_list(F.struct("term", "_w")).alias("_t"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    return g.select("doc", F.transform("_t", lambda x: F.struct(x["term"].alias("term"), (x["_w"] / F.col("_norm")).alias("weight"))).alias("terms"))
+
+
+def class_counts(rows: DataFrame, labels: list) -> DataFrame:
+    """(term, n, d) from (label, term, tf): arrays of a term's occurrences and documents in each of the labels. One row a
+    term, summed before the shuffle."""
+    n = [F.sum(F.when(F.col("label") == x, F.col("tf")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(labels)]
+    d = [F.count_if(F.col("label") == x).alias(f"d{i}") for i, x in enumerate(labels)]
+    pick = lambda k: F.array(*[f"{k}{i}" for i in range(len(labels))]).cast("array<bigint>").alias(k)
+    return rows.groupBy("term").agg(*n, *d).select("term", pick("n"), pick("d"))
 
 
 class NaiveBayes:
-    """Multinomial naive Bayes as two tables: priors (label, prior), and terms (label, term, ll) of the terms that a
-    class has, with each class's ll of a vocabulary term it lacks in priors.unseen."""
+    """Multinomial naive Bayes: labels in ascending order, their log priors, and a table (term, ll) with the array of a
+    vocabulary term's log-likelihoods."""
 
-    def __init__(self, priors: DataFrame, terms: DataFrame, vocab: DataFrame):
-        self.priors, self.terms, self.vocab = priors, terms, vocab
+    def __init__(self, labels: list, priors: list[float], terms: DataFrame):
+        self.labels, self.priors, self.terms = labels, priors, terms
+
+    @property
+    def kind(self) -> str:
+        """The type of its labels."""
+        return "string" if any(isinstance(x, str) for x in self.labels) else "int"
 
     @staticmethod
-    def fit(counts: DataFrame, labels: DataFrame, min_df: int = MIN_DF, alpha: float = ALPHA) -> NaiveBayes:
-        """From term counts and (doc, label); the prior is a class's share of the documents, unsmoothed."""
-        from mundspark.runtime import staged
+    def of(counts: DataFrame, docs: dict, classes: dict, min_df: int = MIN_DF, alpha: float = ALPHA) -> NaiveBayes:
+        """From class_counts, staged, of the labels of docs, in ascending order, and their numbers of documents. classes gives
+        the labels of each class; documents of no class take no part. The prior is a class's share of the documents,
+        unsmoothed."""
+        at = {x: i for i, x in enumerate(docs)}
+        names = sorted(c for c in classes if sum(docs.get(x, 0) for x in classes[c]))
+        total = lambda col, labels: sum((F.col(col)[at[x]] for x in labels if x in at), F.lit(0))
+        df = total("d", [x for c in names for x in classes[c]])
+        v = counts.where(df >= min_df).select("term", *[total("n", classes[c]).alias(f"c{i}") for i, c in enumerate(names)])
+        sums = v.agg(F.count(F.lit(1)).alias("size"), *[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(names))]).first()
+        ll = [F.log((F.col(f"c{i}") + alpha) / F.lit(sums[f"c{i}"] + alpha * sums["size"])) for i in range(len(names))]
+        members = [sum(docs.get(x, 0) for x in classes[c]) for c in names]
+        terms = v.select("term", (F.array(*ll) if ll else F.array()).cast("array<double>").alias("ll"))
+        return NaiveBayes(names, [math.log(n / sum(members)) for n in members], staged(terms, "likelihoods"))
 
+    @staticmethod
+    def fit(rows: DataFrame, labels: DataFrame, min_df: int = MIN_DF, alpha: float = ALPHA) -> NaiveBayes:
+        """From (doc, term, tf) and (doc, label)."""
         known = labels.where("label is not null")
-        vocab = staged(vocabulary(counts.join(known, "doc"), min_df), "vocabulary")
-        size = vocab.count()
-        tf = counts.join(known, "doc").join(vocab.select("term"), "term").groupBy("label", "term").agg(F.sum("tf").alias("n"))
-        tf = staged(tf, "class-terms")
-        total = tf.groupBy("label").agg(F.sum("n").alias("total"))
-        docs = known.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
-        share = F.col("docs") / F.sum("docs").over(Window.partitionBy())  # over one row for each class
-        denominator = F.coalesce("total", F.lit(0)) + F.lit(alpha * size)
-        priors = staged(docs.join(total, "label", "left").select("label", F.log(share).alias("prior"), denominator.alias("denominator"), F.log(F.lit(alpha) / denominator).alias("unseen")), "priors")
-        ll = F.log((F.col("n") + alpha) / F.col("denominator"))
-        return NaiveBayes(priors, staged(tf.join(priors, "label").select("label", "term", (ll - F.col("unseen")).alias("gain")), "class-gains"), vocab)
-
-    def score(self, counts: DataFrame, docs: DataFrame) -> DataFrame:
-        """(doc, label, log_joint) for every document of docs and every class; terms outside the vocabulary are passed
-        over, a document without any has its prior. A class's score is the prior, what all the document's known terms would
-        give unseen, and what the seen ones give above that: only terms that the class has are joined."""
-        known = counts.join(self.vocab.select("term"), "term")
-        length = known.groupBy("doc").agg(F.sum("tf").alias("_n"))
-        gains = known.join(self.terms, "term").groupBy("doc", "label").agg(F.sum(F.col("tf") * F.col("gain")).alias("_g"))
-        classes = [r.asDict() for r in self.priors.collect()]  # one row for each class
-        every = F.explode(F.array(*[F.struct(F.lit(c["label"]).alias("label"), F.lit(c["prior"]).alias("prior"), F.lit(c["unseen"]).alias("unseen")) for c in classes])).alias("c")
-        d = docs.select("doc").join(length, "doc", "left").select("doc", F.coalesce("_n", F.lit(0)).alias("_n"), every).select("doc", "_n", "c.*")
-        j = d.join(gains, ["doc", "label"], "left")
-        return j.select("doc", "label", (F.col("prior") + F.col("_n") * F.col("unseen") + F.coalesce("_g", F.lit(0.0))).alias("log_joint"))
-
-    def predict(self, counts: DataFrame, docs: DataFrame) -> DataFrame:
+        docs = label_counts(known)
+        return NaiveBayes.of(staged(class_counts(rows.join(known, "doc"), list(docs)), "class-counts"), docs, {x: [x] for x in docs}, min_df, alpha)
+
+    def probabilities(self, rows: DataFrame, docs: DataFrame) -> DataFrame:
+        """(doc, label, p) for every class; see scores."""
+        return probabilities(scores([self], rows, docs), 0, self.labels)
+
+    def predict(self, rows: DataFrame, docs: DataFrame) -> DataFrame:
         """(doc, label, confidence): the best class of each document, the lower label on a tie, and its probability."""
-        from_scores = self.score(counts, docs)
-        return best_label(from_scores)
+        s = scores([self], rows, docs).withColumn("_m", F.array_max("s0"))
+        total = F.aggregate("s0", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))
+        label = F.element_at(F.array(*[F.lit(x) for x in self.labels]), F.array_position("s0", F.col("_m")).cast("int"))
+        return s.select("doc", label.alias("label"), (1 / total).alias("confidence"))
 
-    def probabilities(self, counts: DataFrame, docs: DataFrame) -> DataFrame:
-        """(doc, label, p) for every class."""
-        s = self.score(counts, docs)
-        w = Window.partitionBy("doc")  # one row for each class
-        e = s.withColumn("_e", F.exp(F.col("log_joint") - F.max("log_joint").over(w)))
-        return e.select("doc", "label", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
 
+def label_counts(labels: DataFrame) -> dict:
+    """Documents of each label (one row a label), in ascending order."""
+    return {r.label: r.n for r in sorted(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.label)}
 
-def best_label(scores: DataFrame) -> DataFrame:
-    """(doc, label, confidence) from (doc, label, log_joint)."""
-    g = scores.groupBy("doc").agg(F.min_by("label", F.struct(-F.col("log_joint"), "label")).alias("label"), F.max("log_joint").alias("_m"), F.collect_list("log_joint").alias("_s"))
-    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))
-    return g.select("doc", "label", (1 / total).alias("confidence"))
+
+def scores(models: list[NaiveBayes], rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, s0, s1, ...) for every document of docs: the array of log-joint scores by each model. Terms outside a
+    vocabulary are passed over, a document without any has its prior. All models' likelihoods meet a document's terms in
+    one join, and are summed within a document before they are shuffled."""
+    terms = None
+    for k, m in enumerate(models):
+        t = m.terms.select("term", F.col("ll").alias(f"l{k}"))
+        terms = t if terms is None else terms.join(t, "term", "full")
+    if len(models) > 1:
+        terms = staged(terms, "likelihoods")
+    sums = [F.sum(F.col("tf") * F.col(f"l{k}")[i]).alias(f"s{k}_{i}") for k, m in enumerate(models) for i in range(len(m.labels))]
+    g = rows.join(terms, "term").groupBy("doc").agg(*sums)
+    each = [F.array(*[F.lit(p) + F.coalesce(f"s{k}_{i}", F.lit(0.0)) for i, p in enumerate(m.priors)]).alias(f"s{k}") for k, m in enumerate(models)]
+    return docs.select("doc").join(g, "doc", "left").select("doc", *each)
+
+
+def probabilities(s: DataFrame, k: int, labels: list) -> DataFrame:
+    """(doc, label, p) of the k-th model from scores."""
+    e = s.select("doc", F.transform(f"s{k}", lambda x: F.exp(x - F.array_max(f"s{k}"))).alias("_e"))
+    e = e.withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return e.select("doc", F.inline(F.array(*[F.struct(F.lit(x).alias("label"), (F.col("_e")[i] / F.col("_t")).alias("p")) for i, x in enumerate(labels)])))
 
 
 def mean_probabilities(p: DataFrame, doc_group: DataFrame) -> DataFrame:
@@ -117,9 +166,9 @@ def probability_summary(p: DataFrame, doc_group: DataFrame, label: int = 1) -> D
 def two_stage(groups: DataFrame, binary: DataFrame, fine: DataFrame, german: int = 7) -> DataFrame:
     """(group, is_german, prob_german, label_id, confidence) of every group: German if its mean probability of class 1 is
     at least that of class 0 is not, i.e. if class 1 wins; else the class with the largest mean probability of the second
-    stage. A group without documents is German with probability 1. Ties go to the lower class."""
+    stage. A group without documents is German with probability 1. Ties, to twelve digits, go to the lower class."""
     b = binary.groupBy("group").agg(F.max(F.when(F.col("label") == 1, F.col("p"))).alias("pg"))
-    f = fine.groupBy("group").agg(F.min_by(F.struct("label", "p"), F.struct(-F.col("p"), "label")).alias("f"))
+    f = fine.groupBy("group").agg(F.min_by(F.struct("label", "p"), F.struct(-F.round("p", 12), "label")).alias("f"))
     j = groups.select("group").distinct().join(b, "group", "left").join(f, "group", "left")
     pg = F.coalesce("pg", F.lit(1.0))
     is_german = pg > 0.5
@@ -127,8 +176,8 @@ def two_stage(groups: DataFrame, binary: DataFrame, fine: DataFrame, german: int
 
 
 def linear_model(weights: DataFrame, labels: DataFrame, features: int = 1 << 18, reg: float = 1e-4, iterations: int = 50):
-    """A multinomial logistic regression on hashed TF-IDF rows with balanced class weights; returns the fitted pipeline
-    stage and the table (doc, label, features, w) it was fitted on."""
+    """A multinomial logistic regression on hashed TF-IDF rows (see tfidf) with balanced class weights; returns the fitted
+    pipeline stage and the table (doc, label, features, w) it was fitted on."""
     from pyspark.ml.classification import LogisticRegression
 
     rows = hashed_rows(weights, features).join(labels.where("label is not null"), "doc")
@@ -143,11 +192,15 @@ def hashed_rows(weights: DataFrame, features: int = 1 << 18) -> DataFrame:
     """(doc, features): sparse vectors of hashed terms, colliding terms summed."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    slots = weights.groupBy("doc", F.pmod(F.xxhash64("term"), F.lit(features)).cast("int").alias("i")).agg(F.sum("weight").alias("v"))
-    packed = slots.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("x"))
+    def vector(x):
+        slots: dict[int, float] = {}
+        for p in x:
+            slots[p["i"]] = slots.get(p["i"], 0.0) + p["v"]
+        return SparseVector(features, slots)
+
+    packed = weights.select("doc", F.transform("terms", lambda t: F.struct(F.pmod(F.xxhash64(t["term"]), F.lit(features)).cast("int").alias("i"), t["weight"].alias("v"))).alias("x"))
     # vectors have no column expression; the rows travel in Arrow batches
-    to = F.udf(lambda x: SparseVector(features, [p["i"] for p in x], [p["v"] for p in x]), VectorUDT(), useArrow=True)
-    return packed.select("doc", to("x").alias("features"))
+    return packed.select("doc", F.udf(vector, VectorUDT(), useArrow=True)("x").alias("features"))
 
 
 def per_dimension(df: DataFrame, vector: str) -> DataFrame:

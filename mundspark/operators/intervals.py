@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ticks in one shard of a run bitmap.
-SHARD = 1 << 16
+from mundspark.runtime import staged
+
+#: Ticks in one shard of a run bitmap, and shards of an entity that one task scans.
+SHARD, STRETCH = 1 << 16, 4096
 
 
 def to_ms(c: Column) -> Column:
@@ -48,25 +50,39 @@ def run_bitmap(df: DataFrame, entity: str, start: str, end: str, shard: int = SH
     return runs.groupBy("entity", "shard").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
-def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, shard: int = SHARD) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, shard: int = SHARD, stretch: int = STRETCH) -> DataFrame:
     """(entity, kind, start, end): the set runs (`period`) and the clear runs between them (`gap`) of each entity.
 
     Intervals that overlap, nest or touch form one period. A row whose start or end is NULL, or whose end is not after
     its start, has no interval; an entity without intervals gives no row. NULL entities form one entity. Repeated rows
     change nothing. start and end are whole numbers (see to_ms); other columns are ignored.
 
-    Runs are built per entity and shard. Only shard summaries cross shard borders: for each shard the furthest end of
-    all earlier shards tells which of its runs go on from before."""
-    runs = run_bitmap(df, entity, start, end, shard)
-    order = Window.partitionBy("entity").orderBy("shard")
+    Runs are built per entity and shard. What crosses shard borders is found by prefix scans, forwards for the furthest end
+    so far and backwards for the next run that begins a period; both go over the shards of a stretch, and over one summary
+    row for each stretch of an entity, so no task holds all of a long entity's shards."""
+    runs = run_bitmap(df, entity, start, end, shard).withColumn("_part", F.floor(F.col("shard") / stretch))
+    runs = staged(runs, "runs")
     reach = F.element_at("runs", -1)["e"]
-    x = runs.withColumn("_before", F.max(reach).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def beside(x: DataFrame, summary: DataFrame, *cols: str) -> DataFrame:
+        y = summary.select(F.col("entity").alias("_e"), F.col("_part").alias("_p"), *cols)
+        return x.join(y, x["entity"].eqNullSafe(y["_e"]) & (x["_part"] == y["_p"])).drop("_e", "_p")
+
+    before = lambda *by: by[0].rowsBetween(Window.unboundedPreceding, -1)
+    parts, inside = Window.partitionBy("entity"), Window.partitionBy("entity", "_part")
+    ends = runs.groupBy("entity", "_part").agg(F.max(reach).alias("_reach"))
+    ends = ends.select("entity", "_part", F.max("_reach").over(before(parts.orderBy("_part"))).alias("_earlier"), F.max("_reach").over(parts).alias("_last"))
+    x = beside(runs, ends, "_earlier", "_last")
+    x = x.withColumn("_before", F.greatest("_earlier", F.max(reach).over(before(inside.orderBy("shard")))))
     x = x.withColumn("_new", F.expr("filter(runs, r -> _before is null or r.s > _before)"))
     # the furthest end before the first new run: of earlier shards, or of this shard's runs that go on from them
     x = x.withColumn("_carry", F.expr("greatest(_before, array_max(transform(filter(runs, r -> r.s <= _before), r -> r.e)))"))
-    # where the last period that begins in this shard ends: at the reach seen by the next shard that begins one
-    nxt = F.first(F.when(F.size("_new") > 0, F.col("_carry")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    x = x.withColumn("_end", F.coalesce(nxt, F.max(reach).over(Window.partitionBy("entity")))).where(F.size("_new") > 0)
+    x = staged(x.where(F.size("_new") > 0).select("entity", "_part", "shard", "_last", "_new", "_carry"), "new-runs")
+    # the last period that begins in a shard ends where the next shard that begins one finds the furthest end
+    first = x.groupBy("entity", "_part").agg(F.min_by("_carry", "shard").alias("_first"))
+    first = first.select("entity", "_part", F.last("_first").over(before(parts.orderBy(F.desc("_part")))).alias("_later"))
+    x = beside(x, first, "_later")
+    x = x.withColumn("_end", F.coalesce(F.last("_carry").over(before(inside.orderBy(F.desc("shard")))), "_later", "_last"))
     out = F.expr(
         """flatten(transform(_new, (r, i) -> filter(array(
              named_struct('kind', 'period', 'start', r.s, 'end', case when i = size(_new) - 1 then _end else r.e end),

@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mundspark.operators.rows import first_row
+
 #: Characters of the shared piece by which containing strings find each other.
 PIECE = 12
 
 
+def _pieces(c: str, lengths: str) -> str:
+    """The different pieces of a text that have one of some lengths, an expression giving an array of those."""
+    return f"array_distinct(flatten(transform(filter({lengths}, n -> n <= length({c})), n -> transform(sequence(1, length({c}) - n + 1), i -> substr({c}, i, n)))))"
+
+
+def _rarest(texts: DataFrame, c: str) -> DataFrame:
+    """texts with the piece, of PIECE characters (all of a shorter text), that fewest other texts have."""
+    own = texts.withColumn("_piece", F.explode(F.expr(_pieces(c, f"array(least(length({c}), {PIECE}))"))))
+    n = own.groupBy("_piece").agg(F.count(F.lit(1)).alias("_c"))
+    best = own.select(F.col(c).alias("_k"), "_piece").join(n, "_piece").groupBy("_k").agg(F.min_by("_piece", F.struct("_c", "_piece")).alias("_piece"))
+    return texts.join(best, F.col(c) == F.col("_k")).drop("_k")
+
+
 def contains_join(a: DataFrame, b: DataFrame, a_text: str, b_text: str, b_order: str) -> DataFrame:
     """a with the columns of the first row of b, by b_order, whose text contains that of a or is contained in it; NULLs
     where none does. Texts shorter than one character match nothing.
 
-    Where x contains y, the first PIECE characters of y (all of them if it is shorter) are a piece of x. So the shorter
-    side offers its head and the longer one all its pieces of that length, and an equality join finds the pairs to test.
-    a's texts are matched once each. Columns of a and b must have different names."""
+    Where x contains y, every piece of y is a piece of x. So the shorter side offers its rarest piece, the longer one all its
+    pieces of that length, and an equality join finds the pairs to test: what many texts share (a common folder, a file
+    type) makes no pairs. Texts are matched once each. Columns of a and b must have different names."""
     ta = a.select(F.col(a_text).alias("_x")).where(F.length("_x") > 0).distinct()
-    tb = b.where(F.length(b_text) > 0)
-    heads = lambda d, c: d.withColumn("_n", F.least(F.length(c), F.lit(PIECE))).withColumn("_piece", F.left(c, F.col("_n")))
-
-    def pieces(d: DataFrame, c: str, lengths: DataFrame) -> DataFrame:
-        # only lengths that occur on the other side, at most PIECE of them
-        ns = [str(r[0]) for r in lengths.select("_n").distinct().collect()]
-        pieces_ = f"array_distinct(flatten(transform(filter(cast(array({', '.join(ns)}) as array<int>), n -> n <= length({c})), n -> transform(sequence(1, length({c}) - n + 1), i -> substr({c}, i, n)))))"
-        return d.withColumn("_piece", F.explode(F.expr(pieces_)))
-
-    ha, hb = heads(ta, "_x"), heads(tb, b_text)
-    in_b = ha.join(pieces(tb, b_text, ha).drop("_n"), "_piece").where(F.contains(F.col(b_text), F.col("_x")))
-    in_a = pieces(ta, "_x", hb).join(hb.drop("_n"), "_piece").where(F.contains(F.col("_x"), F.col(b_text)))
+    tb = first_row(b.where(F.length(b_text) > 0), [b_text], [F.col(b_order)])
+    # no more than PIECE lengths occur
+    lengths = lambda d, c: "array(" + ", ".join(sorted(str(r[0]) for r in d.select(F.least(F.length(c), F.lit(PIECE))).distinct().collect())) + ")"
+    every = lambda d, c, other: d.withColumn("_piece", F.explode(F.expr(_pieces(c, f"cast({other} as array<int>)"))))
+    in_b = _rarest(ta, "_x").join(every(tb, b_text, lengths(ta, "_x")), "_piece").where(F.contains(F.col(b_text), F.col("_x")))
+    in_a = every(ta, "_x", lengths(tb, b_text)).join(_rarest(tb, b_text), "_piece").where(F.contains(F.col("_x"), F.col(b_text)))
     row = F.struct(*[F.col(c) for c in b.columns])
     found = in_b.select("_x", row.alias("_r")).unionByName(in_a.select("_x", row.alias("_r")))
     best = found.groupBy("_x").agg(F.min_by("_r", f"_r.{b_order}").alias("_r"))
     return a.join(best, F.col(a_text) == F.col("_x"), "left").select(*[a[c] for c in a.columns], "_r.*")
+
+
+def chunk_id(path: Column, mark: str = "concat_") -> Column:
+    """The id of a joined chunk that follows `mark` in a path, without its file type; NULL where there is none."""
+    return F.nullif(F.regexp_extract(path, rf"{mark}([^/.]+)", 1), F.lit(""))
+
+
+def contains_or_id_join(a: DataFrame, b: DataFrame, a_text: str, b_text: str, b_order: str, mark: str = "concat_") -> DataFrame:
+    """contains_join, and for the texts of a without a match the first row of b, by b_order, with the same chunk_id."""
+    by_text = contains_join(a, b, a_text, b_text, b_order)
+    left = by_text.where(F.col(b_text).isNull()).select(*a.columns)
+    ids = first_row(b.withColumn("_id", chunk_id(F.col(b_text), mark)).where("_id is not null"), ["_id"], [F.col(b_order)])
+    by_id = left.withColumn("_id", chunk_id(F.col(a_text), mark)).join(ids, "_id", "left").drop("_id")
+    return by_text.where(F.col(b_text).isNotNull()).unionByName(by_id)

@@ -51,7 +51,7 @@ def speech_only(df: DataFrame, text: str = "text", speaker: str = "speaker") ->
 
 
 def drop_runs(df: DataFrame, key: str, order: list[str], start: str = "start", text: str = "text", run: int = RUN) -> DataFrame:
-    """Without runs of `run` or more neighbouring segments with the same normalised text (functions.normalise.run_text);
+    """Without runs of `run` or more neighbouring segments with the same normalised text (functions.normalise.run_key);
     segments whose normalised text is empty stay. NULL texts count as empty."""
     d = chunked(df.withColumn("_text", run_key(F.col(text))), start)
     d = with_previous(d, key, order, ["_text"])

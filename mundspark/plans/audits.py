@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mundspark.functions import columns as C
-from mundspark.functions.keys import file_key, speaker_key
+from mundspark.functions.keys import file_key
 from mundspark.operators import features, models, rows, selection
 from mundspark.operators.transcript import chunked, islands, with_previous
-from mundspark.plans.speech import _CLIPS, _DROP, _clips, _gram_sql
+from mundspark.plans.speech import _CLIPS, _DROP, _HELD, _OWNER, _arrays, _clips, _gram_sql, _owners, _stage_sql
 from mundspark.runtime import staged, table
 
 QUERIES: dict = {}
@@ -25,26 +25,15 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""with {_CLIPS}, g as ({_gram_sql((2,))}), n as (select p.label, term, count(*) as n from g join p using (doc) where p.label is not null group by all),
-r as (select *, row_number() over (partition by label order by n desc, term) as t, row_number() over (partition by label order by n, term) as b from n)
-select label, term, n, t as rank, 'top' as side from r where t <= 10 union all select label, term, n, b, 'bottom' from r where b <= 10""")
-def class_terms(spark, sf):
-    """The ten most and least frequent phoneme 2-grams of each label."""
-    return _class_terms(spark, sf, (2,))
-
-
 @query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), n as (select p.label, term, count(*) as n from g join p using (doc) where p.label is not null group by all),
 r as (select *, row_number() over (partition by label order by n desc, term) as t, row_number() over (partition by label order by n, term) as b from n)
 select label, term, n, t as rank, 'top' as side from r where t <= 10 union all select label, term, n, b, 'bottom' from r where b <= 10""")
-def class_terms_full(spark, sf):
+def class_terms(spark, sf):
     """The ten most and least frequent phoneme 2- to 4-grams of each label."""
-    return _class_terms(spark, sf)
-
-
-def _class_terms(spark, sf, sizes=features.SIZES):
-    clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    n = features.term_counts(clips, "doc", F.col("phoneme"), sizes, drop=_DROP).join(clips.select("doc", "label"), "doc").groupBy("label", "term").agg(F.sum("tf").alias("n"))
-    return selection.top_and_bottom(n, "label", "n", "term", 10).withColumn("rank", F.col("rank").cast("long"))
+    clips = _clips(spark, sf).where("label is not null")
+    grams = features.ngrams("_t", features.SIZES)
+    n = clips.select("label", features.tokens(F.col("phoneme"), drop=_DROP).alias("_t")).select("label", F.explode(grams).alias("term")).groupBy("label", "term").agg(F.count(F.lit(1)).alias("n"))
+    return selection.top_and_bottom(staged(n, "class-terms"), "label", "n", "term", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""with s as (select trim(client_id) as client_id, avg(case when label_id = 7 then 1.0 else 0.0 end) as p, count(*) as n from merged_train where trim(client_id) <> '' and label_id is not null group by 1)
@@ -116,13 +105,18 @@ def embedding_probe(spark, sf):
     return models.probe(table(spark, sf, "embeddings"), "embedding", "label", "vec_id")
 
 
-@query()
+@query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), c as (select doc, term, count(*) as tf from g group by all), {_OWNER}, h as (select doc from p join o using (doc) where label is not null),
+{_stage_sql("b", "true", "(label = 7)::int", "h").replace(f"not {_HELD} and ", "")},
+r as (select grp, count(*) as docs, avg(p) as mean, median(p) as median, max(p) as most from bp join o using (doc) where label = 1 group by grp)
+select grp as "group", docs, round(mean, 5) as mean, round(median, 5) as median, round(most, 5) as most, (mean >= 0.5)::int as by_mean, (median > 0.4)::int as by_median from r""")
 def speaker_probabilities(spark, sf):
     """Mean, median and largest probability of High German over each speaker's clips."""
-    clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), drop=_DROP), "counts")
-    nb = features.NaiveBayes.fit(counts, clips.select("doc", (F.col("label") == 7).cast("int").alias("label")))
-    owner = table(spark, sf, "merged_train").select(file_key(F.col("audio_path")).alias("doc"), speaker_key(F.col("client_id")).alias("group")).where("doc is not null and group is not null").groupBy("doc").agg(F.min("group").alias("group"))
-    p = nb.probabilities(counts, clips.select("doc").join(owner.select("doc"), "doc", "left_semi"))
-    s = features.probability_summary(p, owner)
-    return s.withColumn("by_mean", C.decision(F.col("mean"), F.col("median"), "mean")).withColumn("by_median", C.decision(F.col("mean"), F.col("median"), "median"))
+    clips, arrays = _arrays(spark, sf, True)
+    docs = features.label_counts(clips)
+    counts = staged(features.class_counts(features.in_rows(arrays, "label"), list(docs)), "class-counts")
+    nb = features.NaiveBayes.of(counts, docs, {0: [x for x in docs if x != 7], 1: [x for x in docs if x == 7]})
+    owner = staged(_owners(spark, sf), "owners")
+    mine = arrays.join(owner.select("doc"), "doc", "left_semi")
+    s = features.probability_summary(nb.probabilities(features.in_rows(mine, "doc"), mine.select("doc")), owner)
+    by = {f"by_{r}": C.decision(F.col("mean"), F.col("median"), r).alias(f"by_{r}") for r in ("mean", "median")}
+    return s.select("group", "docs", *[F.round(c, 5).alias(c) for c in ("mean", "median", "most")], *by.values())

@@ -28,12 +28,15 @@ def query(sql: str | None = None):
 
 
 _NUM = "case when cast({0} as varchar) = 'nan' then null else {0} end"
+_MUSIC = "lower(rtrim(ltrim(regexp_replace(rtrim(coalesce({0}, ''), {1}), '[.]$', ''), {1} || '[(-–—'), {1} || '])-–—')) = 'musik'".format("text", "' ' || chr(9) || chr(10) || chr(13) || chr(160)")
+_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+_ENDS = "right(rtrim(regexp_replace(rtrim({0}, _B), '[»\"'']$', ''), _B), 1) in ('.', '!', '?')".replace("_B", _BLANK)
 _SEG = f"""s as (select episode_id, segment_id, {_NUM.format('start')} as st, {_NUM.format('"end"')} as en, coalesce(speaker, '') as speaker, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '') as text,
   coalesce({_NUM.format('overlap_coverage')}, 0) as ov from transcript_segments)"""
 
 
 @query(f"""with {_SEG}, p as (select *, lag(speaker) over w as ps, lag(en) over w as pe, lag(text) over w as pt from s window w as (partition by episode_id order by st nulls first, en nulls first, segment_id)),
-f as (select *, case when ps = speaker and st - pe <= 0.8 and not regexp_matches(pt, '[.!?]\\s*[»"'']?\\s*$') then 0 else 1 end as new from p),
+f as (select *, case when ps = speaker and st - pe <= 0.8 and not coalesce({_ENDS.format('pt')}, false) then 0 else 1 end as new from p),
 i as (select *, sum(new) over (partition by episode_id order by st nulls first, en nulls first, segment_id) as island from f)
 select episode_id, round(arg_min(st, o), 3) as start, round(arg_max_null(en, o), 3) as "end", arg_min(speaker, o) as speaker, coalesce(string_agg(text, ' ' order by o) filter (text <> ''), '') as text,
   coalesce(round(sum(greatest(coalesce(en - st, 0), 0) * ov) / nullif(sum(greatest(coalesce(en - st, 0), 0)), 0), 3), 0) as overlap_coverage, count(*) as segments
@@ -43,9 +46,9 @@ def sentences(spark, sf):
     return transcript.sentences(table(spark, sf, "transcript_segments"), "episode_id", "segment_id")
 
 
-@query(r"""with s as (select episode_id, segment_id, start, coalesce(text, '') as text from transcript_segments
-  where upper(trim(coalesce(speaker, ''))) <> 'UNKNOWN' and not regexp_matches(trim(coalesce(text, '')), '(?i)^\s*[\[\(\-–—\s]*musik[\]\)\-–—\s]*\.?\s*$')),
-q as (select *, trim(trim(translate(trim(regexp_replace(nfc_normalize(replace(text, '…', '...')), '[\s\x{00A0}]+', ' ', 'g'), ' '), '„“«»‚’', repeat(chr(34), 4) || chr(39) || chr(39)), chr(34) || chr(39)), '[]()') as t from s),
+@query(rf"""with s as (select episode_id, segment_id, start, coalesce(text, '') as text from transcript_segments
+  where upper(trim(coalesce(speaker, ''))) <> 'UNKNOWN' and not {_MUSIC}),
+q as (select *, trim(trim(translate(trim(regexp_replace(nfc_normalize(replace(text, '…', '...')), '[\s\x{{00A0}}]+', ' ', 'g'), ' '), '„“«»‚’', repeat(chr(34), 4) || chr(39) || chr(39)), chr(34) || chr(39)), '[]()') as t from s),
 n as (select *, lower(regexp_replace(t, '[.!?\s]+$', '')) as k from q),
 f as (select *, case when k = lag(k) over (partition by episode_id order by start, segment_id) then 0 else 1 end as new from n),
 i as (select *, sum(new) over (partition by episode_id order by start, segment_id) as island from f)
@@ -56,7 +59,7 @@ def runs_dropped(spark, sf):
     return transcript.drop_runs(transcript.speech_only(s), "episode_id", ["start", "segment_id"]).select("episode_id", "segment_id")
 
 
-@query("""select regexp_matches(trim(text), '(?i)^\\s*[\\[\\(\\-–—\\s]*musik[\\]\\)\\-–—\\s]*\\.?\\s*$') as music, upper(trim(coalesce(speaker, ''))) = 'UNKNOWN' as unknown, regexp_matches(coalesce(text, ''), '[.!?]\\s*[»"'']?\\s*$') as ends, count(*) as n
+@query(f"""select {_MUSIC} as music, upper(trim(coalesce(speaker, ''))) = 'UNKNOWN' as unknown, {_ENDS.format('text')} as ends, count(*) as n
 from (select segment_id, speaker, coalesce(text, '') as text from transcript_segments) group by all""")
 def segment_kinds(spark, sf):
     """Segments by what the transcript filters tell of them."""
@@ -135,29 +138,27 @@ def ngram_vocabulary(spark, sf):
     return features.vocabulary(features.term_counts(_clips(spark, sf), "doc", F.col("phoneme"), drop=_DROP))
 
 
-@query(f"""with {_CLIPS}, g as ({_gram_sql((2,))}), c as (select doc, term, count(*) as tf from g group by all), v as (select term, count(*) as df from c group by all having count(*) >= 2), n as (select count(*) as n from p),
+@query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), c as (select doc, term, count(*) as tf from g group by all), v as (select term, count(*) as df from c group by all having count(*) >= 2), n as (select count(*) as n from p),
 w as (select doc, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) as w from c join v using (term) cross join n),
 u as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as w from w)
 select doc, count(*) as terms, round(max(w), 6) as largest, round(sum(w), 5) as total from u group by all""")
 def tfidf_rows(spark, sf):
-    """TF-IDF rows of the clips' 2-grams, summed up per clip."""
-    return _tfidf(spark, sf, (2,))
+    """TF-IDF rows of the clips' 2- to 4-grams, summed up per clip."""
+    clips, arrays = _arrays(spark, sf)
+    w = _weights(arrays, clips.count()).select("doc", F.transform("terms", lambda t: t["weight"]).alias("w"))
+    return w.select("doc", F.size("w").cast("long").alias("terms"), F.round(F.array_max("w"), 6).alias("largest"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), c as (select doc, term, count(*) as tf from g group by all), v as (select term, count(*) as df from c group by all having count(*) >= 2), n as (select count(*) as n from p),
-w as (select doc, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) as w from c join v using (term) cross join n),
-u as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as w from w)
-select doc, count(*) as terms, round(max(w), 6) as largest, round(sum(w), 5) as total from u group by all""")
-def tfidf_rows_full(spark, sf):
-    """TF-IDF rows of the clips' 2- to 4-grams, summed up per clip."""
-    return _tfidf(spark, sf)
+def _arrays(spark, sf, labelled: bool = False, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The clips, and their n-grams."""
+    clips = _clips(spark, sf)
+    clips = staged(clips.where("label is not null") if labelled else clips, "clips")
+    return clips, staged(features.term_arrays(clips, "doc", F.col("phoneme"), ("label",), lower=lower, drop=_DROP), "terms")
 
 
-def _tfidf(spark, sf, sizes=features.SIZES) -> DataFrame:
-    clips = staged(_clips(spark, sf), "clips")
-    counts = features.term_counts(clips, "doc", F.col("phoneme"), sizes, drop=_DROP)
-    w = features.tfidf(counts, features.vocabulary(counts), clips.count())
-    return w.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("largest"), F.round(F.sum("weight"), 5).alias("total"))
+def _weights(arrays: DataFrame, docs: int) -> DataFrame:
+    rows = features.in_rows(arrays, "doc")
+    return features.tfidf(rows, staged(features.vocabulary(rows), "vocabulary"), docs)
 
 
 _HELD = "left(md5('5|' || doc), 1) in ('0', '1', '2')"
@@ -178,51 +179,75 @@ h as (select doc from p where label is not null and {_HELD}), hk as (select c.*
 s as (select h.doc, d.label, d.prior + coalesce(sum(hk.tf * ln((coalesce(tf.n, 0) + 0.1) / d.den)), 0) as score from h cross join d left join hk on hk.doc = h.doc left join tf on tf.label = d.label and tf.term = hk.term group by h.doc, d.label, d.prior)"""
 
 
-@query(f"""with {_bayes_sql("label", (2,))} select doc, label, round(1 / sum(exp(score - m)) over (partition by doc), 5) as confidence from (select *, max(score) over (partition by doc) as m from s)
-qualify row_number() over (partition by doc order by score desc, label) = 1""")
-def bayes_labels(spark, sf):
-    """Labels of held-out clips by multinomial naive Bayes on phoneme 2-grams."""
-    return _bayes(spark, sf, (2,))[1].withColumn("confidence", F.round("confidence", 5))
-
-
 @query(f"""with {_bayes_sql("label", features.SIZES)} select doc, label, round(1 / sum(exp(score - m)) over (partition by doc), 5) as confidence from (select *, max(score) over (partition by doc) as m from s)
 qualify row_number() over (partition by doc order by score desc, label) = 1""")
-def bayes_labels_full(spark, sf):
+def bayes_labels(spark, sf):
     """Labels of held-out clips by multinomial naive Bayes on phoneme 2- to 4-grams."""
     return _bayes(spark, sf)[1].withColumn("confidence", F.round("confidence", 5))
 
 
-def _bayes(spark, sf, sizes=features.SIZES) -> tuple[DataFrame, DataFrame]:
-    clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), sizes, drop=_DROP), "counts")
-    nb = features.NaiveBayes.fit(counts, clips.where(~_held()).select("doc", "label"))
-    held = clips.where(_held()).select("doc")
-    return clips, nb.predict(counts.join(held, "doc", "left_semi"), held)
+def _bayes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    clips, arrays = _arrays(spark, sf, True)
+    docs = features.label_counts(clips.where(~_held()))
+    counts = staged(features.class_counts(features.in_rows(arrays.where(~_held()), "label"), list(docs)), "class-counts")
+    nb = features.NaiveBayes.of(counts, docs, {x: [x] for x in docs})
+    held = arrays.where(_held())
+    return clips, nb.predict(features.in_rows(held, "doc"), held.select("doc"))
 
 
-@query()
+_GROUP = "case when trim(client_id) = '' or lower(trim(client_id)) in ('nan', 'none', 'null', 'unknown', '?') then null else coalesce(nullif(regexp_extract(regexp_replace(lower(trim(client_id)), '^.*[/:_]|[^0-9a-f]', '', 'g'), '^[0-9a-f]{16}$'), ''), lower(trim(client_id))) end"
+_OWNER = f"""o as (select doc, min(grp) as grp from (select regexp_extract(lower(replace(trim(audio_path), '\\', '/')), '([^/]+?)(\\.[a-z0-9]{{1,5}})?$', 1) as doc, {_GROUP} as grp from merged_train where trim(audio_path) <> '')
+  where grp is not null and doc not in ('', 'nan', 'none', 'null') group by doc)"""
+
+
+def _stage_sql(name: str, where: str, label: str, of: str) -> str:
+    """The probabilities of one stage, for all clips of `of`."""
+    return f"""{name}l as (select doc, {label} as label from p where label is not null and not {_HELD} and {where}), {name}c as (select c.*, l.label from c join {name}l l using (doc)),
+{name}v as (select term from {name}c group by term having count(*) >= 2), {name}n as (select count(*) as vn from {name}v),
+{name}t as (select label, term, sum(tf) as n from {name}c join {name}v using (term) group by all), {name}s as (select label, sum(n) as total from {name}t group by all),
+{name}r as (select label, ln(count(*) / sum(count(*)) over ()) as prior from {name}l group by label),
+{name}d as (select r.label, prior, coalesce(total, 0) + 0.1 * vn as den from {name}r r left join {name}s s on s.label = r.label cross join {name}n),
+{name}k as (select c.* from c join {of} using (doc) join {name}v using (term)),
+{name}g as (select h.doc, d.label, d.prior + coalesce(sum(k.tf * ln((coalesce(t.n, 0) + 0.1) / d.den)), 0) as score from {of} h cross join {name}d d left join {name}k k on k.doc = h.doc left join {name}t t on t.label = d.label and t.term = k.term group by h.doc, d.label, d.prior),
+{name}p as (select doc, label, exp(score - m) / sum(exp(score - m)) over (partition by doc) as p from (select *, max(score) over (partition by doc) as m from {name}g))"""
+
+
+@query(f"""with {_CLIPS}, g as ({_gram_sql(features.SIZES)}), c as (select doc, term, count(*) as tf from g group by all), {_OWNER}, h as (select doc from p join o using (doc) where label is not null),
+{_stage_sql("b", "true", "(label = 7)::int", "h")}, {_stage_sql("f", "label < 7", "label", "h")},
+b1 as (select grp, avg(p) as pg from bp join o using (doc) where label = 1 group by grp), f1 as (select grp, label, avg(p) as p from fp join o using (doc) group by all),
+f2 as (select * from f1 qualify row_number() over (partition by grp order by round(p, 12) desc, label) = 1), a as (select distinct grp from o)
+select a.grp as "group", (coalesce(pg, 1) > 0.5)::int as is_german, round(coalesce(pg, 1), 5) as prob_german, case when coalesce(pg, 1) > 0.5 then 7 else f2.label end as label_id, round(case when coalesce(pg, 1) > 0.5 then coalesce(pg, 1) else f2.p end, 5) as confidence
+from a left join b1 using (grp) left join f2 using (grp)""")
 def two_stage_labels(spark, sf):
-    """Speakers labelled in two stages from the mean probabilities of their clips: German or not, then the region."""
-    clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), drop=_DROP), "counts")
-    fit = clips.where(~_held())
-    binary = features.NaiveBayes.fit(counts, fit.select("doc", (F.col("label") == 7).cast("int").alias("label")))
-    fine = features.NaiveBayes.fit(counts, fit.where("label < 7").select("doc", "label"))
-    owner = table(spark, sf, "merged_train").select(file_key(F.col("audio_path")).alias("doc"), speaker_key(F.col("client_id")).alias("group")).where("doc is not null and group is not null").groupBy("doc").agg(F.min("group").alias("group"))
-    docs = staged(owner.join(clips.select("doc"), "doc"), "owners")
-    mean = lambda m: features.mean_probabilities(m.probabilities(counts, docs.select("doc")), docs)
-    return features.two_stage(owner.select("group"), mean(binary), mean(fine))
+    """Speakers labelled in two stages from the mean probabilities of their clips: German or not, then the region. Both
+    stages are fitted from one count of terms by label, and score a clip in one pass."""
+    clips, arrays = _arrays(spark, sf, True)
+    docs = features.label_counts(clips.where(~_held()))
+    counts = staged(features.class_counts(features.in_rows(arrays.where(~_held()), "label"), list(docs)), "class-counts")
+    binary = features.NaiveBayes.of(counts, docs, {0: [x for x in docs if x != 7], 1: [x for x in docs if x == 7]})
+    fine = features.NaiveBayes.of(counts, docs, {x: [x] for x in docs if x < 7})
+    owner = staged(_owners(spark, sf), "owners")
+    mine = arrays.join(owner.select("doc"), "doc", "left_semi")
+    s = staged(features.scores([binary, fine], features.in_rows(mine, "doc"), mine.select("doc")), "scores")
+    mean = lambda k, m: features.mean_probabilities(features.probabilities(s, k, m.labels), owner)
+    out = features.two_stage(owner.select("group"), mean(0, binary), mean(1, fine))
+    return out.withColumn("prob_german", F.round("prob_german", 5)).withColumn("confidence", F.round("confidence", 5))
+
+
+def _owners(spark, sf) -> DataFrame:
+    """(doc, group): the speaker of each clip of merged_train."""
+    t = table(spark, sf, "merged_train").select(file_key(F.col("audio_path")).alias("doc"), speaker_key(F.col("client_id")).alias("group"))
+    return t.where("doc is not null and group is not null").groupBy("doc").agg(F.min("group").alias("group"))
 
 
 @query()
 def linear_labels(spark, sf):
     """Accuracy of a balanced logistic regression on hashed TF-IDF rows of held-out clips."""
-    clips = staged(_clips(spark, sf).where("label is not null"), "clips")
-    counts = staged(features.term_counts(clips, "doc", F.col("phoneme"), lower=False, drop=_DROP), "counts")
-    w = staged(features.tfidf(counts, features.vocabulary(counts), clips.count()), "weights")
+    clips, arrays = _arrays(spark, sf, True, lower=False)
+    w = staged(_weights(arrays, clips.count()), "weights")
     labels = clips.select("doc", F.col("label").cast("double").alias("label"))
-    model, _ = features.linear_model(w.join(clips.where(~_held()).select("doc"), "doc", "left_semi"), labels.where(~_held()))
-    rows = features.hashed_rows(w.join(clips.where(_held()).select("doc"), "doc", "left_semi")).join(labels, "doc")
+    model, _ = features.linear_model(w.where(~_held()), labels.where(~_held()))
+    rows = features.hashed_rows(w.where(_held())).join(labels, "doc")
     return metrics.summary(metrics.confusion(model.transform(rows), "label", "prediction"))
 
 
@@ -268,28 +293,14 @@ def score_summary(spark, sf):
 _EDGES = ", ".join(f"({a}, {b})" for a, bs in metrics.NEIGHBOURS.items() for b in bs)
 
 
-@query(f"""with {_bayes_sql("label", (2,))}, b as (select doc, label from s qualify row_number() over (partition by doc order by score desc, label) = 1),
-cm as (select p.label as "true", b.label as pred, count(*) as n from b join p using (doc) group by all), e(a, b) as (values {_EDGES}),
-k as (select "true" as label, sum(n)::bigint as support, coalesce(sum(n) filter ("true" = pred), 0)::bigint as correct, coalesce(sum(n) filter ("true" <> pred and exists (select 1 from e where a = "true" and b = pred)), 0)::bigint as neighbour from cm where "true" < 7 group by all),
-o as (select *, support - correct - neighbour as other, (select count(*) from e where a = label) / 6 as chance from k)
-select label, support, correct, neighbour, other, coalesce(neighbour / nullif(neighbour + other, 0), 0) as neighbour_share, chance, coalesce(neighbour / nullif(neighbour + other, 0), 0) / chance as lift from o""")
-def neighbour_errors(spark, sf):
-    """Errors of naive Bayes on 2-grams with neighbouring regions and others, and their lift."""
-    return _neighbours(spark, sf, (2,))
-
-
 @query(f"""with {_bayes_sql("label", features.SIZES)}, b as (select doc, label from s qualify row_number() over (partition by doc order by score desc, label) = 1),
 cm as (select p.label as "true", b.label as pred, count(*) as n from b join p using (doc) group by all), e(a, b) as (values {_EDGES}),
 k as (select "true" as label, sum(n)::bigint as support, coalesce(sum(n) filter ("true" = pred), 0)::bigint as correct, coalesce(sum(n) filter ("true" <> pred and exists (select 1 from e where a = "true" and b = pred)), 0)::bigint as neighbour from cm where "true" < 7 group by all),
 o as (select *, support - correct - neighbour as other, (select count(*) from e where a = label) / 6 as chance from k)
 select label, support, correct, neighbour, other, coalesce(neighbour / nullif(neighbour + other, 0), 0) as neighbour_share, chance, coalesce(neighbour / nullif(neighbour + other, 0), 0) / chance as lift from o""")
-def neighbour_errors_full(spark, sf):
-    """Errors of naive Bayes on 2- to 4-grams with neighbouring regions and others, and their lift."""
-    return _neighbours(spark, sf)
-
-
-def _neighbours(spark, sf, sizes=features.SIZES) -> DataFrame:
-    clips, found = _bayes(spark, sf, sizes)
+def neighbour_errors(spark, sf):
+    """Errors of naive Bayes with neighbouring regions and others, and their lift."""
+    clips, found = _bayes(spark, sf)
     return metrics.neighbour_table(metrics.confusion(found.join(clips.select("doc", F.col("label").alias("true")), "doc"), "true", "label"))
 
 

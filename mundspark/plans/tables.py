@@ -149,17 +149,17 @@ def reservoir_sample(spark, sf):
     return rows.top(table(spark, sf, "merged_train").select("utt_id"), 50, [], "utt_id", seed=7)
 
 
-@query("""select label_id, fold, count(*) as n, min(utt_id) as first_id from (select utt_id, label_id, cast((row_number() over (partition by label_id order by md5('13|' || utt_id), utt_id) - 1) % 5 as int) as fold from merged_valid where label_id is not null) group by all""")
+@query(f"""select label_id, fold, count(*) as n, min(utt_id) as first_id from (select utt_id, label_id, cast((row_number() over (partition by label_id order by md5('13|' || utt_id), utt_id) - 1) % 5 as int) as fold from {_ALL} where label_id is not null) group by all""")
 def stratified_folds(spark, sf):
     """Five folds with each label dealt evenly."""
-    f = rows.folds(table(spark, sf, "merged_valid").where("label_id is not null").select("utt_id", "label_id"), "label_id", "utt_id")
+    f = rows.folds(_all(spark, sf, "utt_id", "label_id").where("label_id is not null"), "label_id", "utt_id")
     return f.groupBy("label_id", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("utt_id").alias("first_id"))
 
 
-@query("""select utt_id, row_number() over (order by md5('42|' || utt_id), utt_id) <= greatest(1, cast(floor(0.1 * (select count(*) from merged_test)) as bigint)) as is_eval from merged_test""")
+@query("""select utt_id, row_number() over (order by md5('42|' || utt_id), utt_id) <= greatest(1, cast(floor(0.1 * (select count(*) from merged_train)) as bigint)) as is_eval from merged_train""")
 def holdout_split(spark, sf):
     """A tenth of the utterances held out by a seeded shuffle."""
-    return rows.holdout(table(spark, sf, "merged_test").select("utt_id"), "utt_id", 0.1)
+    return rows.holdout(table(spark, sf, "merged_train").select("utt_id"), "utt_id", 0.1)
 
 
 _QUOTA_POOL = f"(select utt_id, {_INFO} as info from "
@@ -373,23 +373,23 @@ def table_fingerprint(spark, sf):
     return reports.fingerprint(table(spark, sf, "merged_train"), ["audio_path", "sentence", "label_id"])
 
 
-@query(r"""select utt_id, trim(regexp_replace(regexp_replace(lower(sentence), '[^\p{L}\p{M}\p{N}_\s\x{00A0}]', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) as words from merged_test""")
+@query(r"""select utt_id, trim(regexp_replace(regexp_replace(lower(sentence), '[^\p{L}\p{M}\p{N}_\s\x{00A0}]', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')) as words from """ + _ALL)
 def normalised_words(spark, sf):
     """Sentences in lower case without punctuation."""
-    return table(spark, sf, "merged_test").select("utt_id", words_only(F.col("sentence")).alias("words"))
+    return _all(spark, sf, "utt_id", "sentence").select("utt_id", words_only(F.col("sentence")).alias("words"))
 
 
 def _synthesis_sql() -> str:
     t = r"trim(regexp_replace(upper(left(sentence, 1)) || substr(sentence, 2), '[\s\x{00A0}]+', ' ', 'g'), ' ')"
     for old, new in PUNCTUATION:
         t = "replace({}, '{}', '{}')".format(t, old, new.replace("'", "''"))
-    return f"select utt_id, case when sentence = '' then '{NOTHING_TO_SAY}' when regexp_matches(t, '[.!?,-]$') then t else t || '.' end as text from (select utt_id, sentence, rtrim({t}, ' ') as t from merged_test)"
+    return f"select utt_id, case when sentence = '' then '{NOTHING_TO_SAY}' when regexp_matches(t, '[.!?,-]$') then t else t || '.' end as text from (select utt_id, sentence, rtrim({t}, ' ') as t from {_ALL})"
 
 
 @query(_synthesis_sql())
 def synthesis_text(spark, sf):
     """Sentences prepared for synthesis."""
-    return table(spark, sf, "merged_test").select("utt_id", for_synthesis(F.col("sentence")).alias("text"))
+    return _all(spark, sf, "utt_id", "sentence").select("utt_id", for_synthesis(F.col("sentence")).alias("text"))
 
 
 @query("""select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) as net from lineitem group by all""")

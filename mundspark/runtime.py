@@ -1,4 +1,4 @@
-"""Session plumbing: table paths, shipping the package, cutting lineage, fixed-size membership bitmaps."""
+"""Session plumbing: table paths, shipping the package, cutting lineage, shuffle width."""
 
 from __future__ import annotations
 
@@ -10,12 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Bits of a membership bitmap. The bitmap is the only thing sent to every task: 1 MiB, whatever the data's size.
-BITMAP_BITS = 1 << 23
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none (tests on one machine)."""
+    """The shared folder of the session. Where none is set, a temporary one, which only a local session may use: the
+    executors of a cluster would each write to their own disk."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = getattr(sc, "_mundspark_dir", None)
         if not known:
             known = tempfile.mkdtemp(prefix="mundspark-ckpt")
@@ -67,11 +65,24 @@ def _staged(spark: SparkSession) -> list[str]:
     sc = spark.sparkContext
     if not hasattr(sc, "_mundspark_staged"):
         sc._mundspark_staged = []
+        atexit.register(_leave, spark)
     return sc._mundspark_staged
 
 
+def _leave(spark: SparkSession) -> None:
+    """At the end of the program: delete what is still staged, if the session can still reach it or it is on this disk."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            clear(spark)
+    except Exception:  # a session that is gone leaves its files to the folder's owner
+        pass
+    for path in _staged(spark):
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+
+
 def clear(spark: SparkSession) -> None:
-    """Delete the tables that this session has staged. DataFrames that read them are of no use after it."""
+    """Delete the tables that this session has staged. DataFrames that read them are of no use after it, so long-running
+    sessions call it between jobs; the end of the program does it too."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     paths = _staged(spark)
     while paths:
@@ -88,24 +99,3 @@ def width(df: DataFrame, part_bytes: int = 256 << 20) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # a leaf of unknown size is estimated at the largest number there is
     return max(least, -(-sum(x for x in sizes if x < 1 << 62) // part_bytes))
-
-
-def bitmap(df: DataFrame, col: str) -> np.ndarray:
-    """A Bloom bitmap (one hash function, BITMAP_BITS bits) of a long column, for prefilters that may let through too
-    much but never too little. The driver receives at most BITMAP_BITS / 64 rows, whatever the size of df."""
-    slot = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP_BITS))
-    words = df.where(F.col(col).isNotNull()).select(F.shiftright(slot, 6).alias("w"), F.pmod(slot, F.lit(64)).cast("int").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toPandas()
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["m"].to_numpy(dtype=np.int64)
-    return out
-
-
-def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Which of the slots (see slot_of) are set."""
-    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1
-
-
-def slot_of(c: Column) -> Column:
-    """The bitmap slot of a long column; computed in the JVM, tested in Python with in_bitmap."""
-    return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))

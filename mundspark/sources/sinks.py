@@ -88,12 +88,13 @@ def label_template(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def save_bayes(model, path: str) -> None:
-    """A NaiveBayes model as three parquet tables."""
-    for name in ("priors", "terms", "vocab"):
-        getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    """A NaiveBayes model as two parquet tables: its labels with their priors, and its terms."""
+    model.terms.sparkSession.createDataFrame(list(zip(model.labels, model.priors)), f"label {model.kind}, prior double").coalesce(1).write.mode("overwrite").parquet(f"{path}/priors")
+    model.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def load_bayes(spark: SparkSession, path: str):
     from mundspark.operators.features import NaiveBayes
 
-    return NaiveBayes(*[spark.read.parquet(f"{path}/{n}") for n in ("priors", "terms", "vocab")])
+    classes = sorted(tuple(r) for r in spark.read.parquet(f"{path}/priors").select("label", "prior").collect())
+    return NaiveBayes([c for c, _ in classes], [p for _, p in classes], spark.read.parquet(f"{path}/terms"))

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from mundspark.functions import columns as C
 from mundspark.functions.keys import file_key, speaker_key
-from mundspark.functions.normalise import for_synthesis, run_text, words_only
+from mundspark.functions.normalise import for_synthesis, run_key, words_only
 from mundspark.functions.regions import region_label
 from mundspark.functions.text import distance, fold, fold_array, same_words
 from mundspark.operators import errors, features, metrics, reports, rows, transcript
 from mundspark.operators.intervals import attribute, multiplicity, periods_and_gaps
-from mundspark.operators.matching import contains_join
+from mundspark.operators.matching import contains_join, contains_or_id_join
 from mundspark.operators.prefix import first_n, running_before
 from mundspark.schemas import conform, require
 
@@ -43,7 +43,9 @@ def test_predicates(spark):
 
 
 def test_normalisers(spark):
-    assert run_text("„Ja  Straße!“") == "ja strasse" and run_text(None) == ""
+    assert ask(spark, ["„Ja  Straße!“", None, "[ﬁn. ]", "Ja…", "»", "\u00a0 'ach so ?! '"], "string", run_key) == ["ja strasse", "", "fin", "ja", "", "ach so"]
+    assert ask(spark, ["Musik.", "[(– MUSIK –)].", "Ｍusik", "Musik.]", "(", "Musik Musik"], "string", C.is_music) == [True, True, True, False, False, False]
+    assert ask(spark, ["Ja! »", "Ja.\"\"", "?", "", "Ja .\u00a0"], "string", C.ends_sentence) == [True, False, True, False, True]
     assert ask(spark, ["Grüezi,  WOHL!", None], "string", words_only) == ["grüezi wohl", None]
     assert ask(spark, ["hallo…du: ja", "", "Ok - gut;", None], "string", for_synthesis) == ["Hallo, du, ja.", "You need to add some text for me to talk.", "Ok, gut,", None]
 
@@ -70,6 +72,18 @@ def test_periods(spark):
     assert periods_and_gaps(df.limit(0), "entity", "start", "end").count() == 0
 
 
+def test_periods_scan_over_stretches(spark, monkeypatch):
+    import random
+
+    from mundspark.operators import intervals
+
+    rnd = random.Random(6)
+    iv = [(None if i % 3 else "e", s, s + rnd.choice([1, 30, 500, 4000])) for i, s in enumerate(rnd.randint(0, 60_000) for _ in range(250))]
+    df = spark.createDataFrame(iv, "entity string, start long, end long")
+    whole = {tuple(r) for r in periods_and_gaps(df, "entity", "start", "end").collect()}
+    assert whole == {tuple(r) for r in periods_and_gaps(df, "entity", "start", "end", shard=64, stretch=3).collect()} and len(whole) > 20
+
+
 def test_periods_random(spark):
     import random
 
@@ -148,6 +162,11 @@ def test_contains_join(spark):
     a = spark.createDataFrame([("clip_0001.wav",), ("zz",), ("/root/x/very/long/path/abc.wav",), ("none",), ("",)], "x string")
     b = spark.createDataFrame([(2, "/d/clip_0001.wav"), (1, "/e/clip_0001.wav.bak"), (3, "abc.wav"), (4, "azzb"), (5, "")], "o int, y string")
     got = {r.x: r.o for r in contains_join(a, b, "x", "y", "o").collect()}
+    many = spark.createDataFrame([(i, f"common/folder/of/all/{i:04d}/clip.wav") for i in range(400)], "o int, y string")
+    some = spark.createDataFrame([(f"of/all/{i:04d}/clip.wav",) for i in range(0, 400, 7)], "x string")
+    assert all(r.x == f"of/all/{r.o:04d}/clip.wav" for r in contains_join(some, many, "x", "y", "o").collect())
+    x, y = spark.createDataFrame([("/a/concat_7.wav",), ("/a/concat_8.wav",)], "x string"), spark.createDataFrame([(2, "/b/c/concat_7.flac"), (1, "/z/concat_7.mp3")], "o int, y string")
+    assert {r.x: r.o for r in contains_or_id_join(x, y, "x", "y", "o").collect()} == {"/a/concat_7.wav": 1, "/a/concat_8.wav": None}
     assert got == {"clip_0001.wav": 1, "zz": 4, "/root/x/very/long/path/abc.wav": 3, "none": None, "": None}
 
 
@@ -193,7 +212,7 @@ def test_bayes_against_formula(spark):
     docs = spark.createDataFrame([(1, "a b a", "x"), (2, "a c", "x"), (3, "b c c", "y"), (4, "z", None)], "doc int, text string, label string")
     counts = features.term_counts(docs, "doc", F.col("text"), (1,))
     nb = features.NaiveBayes.fit(counts, docs.select("doc", "label"), min_df=1)
-    got = {(r.doc, r.label): r.log_joint for r in nb.score(counts, docs.select("doc")).collect()}
+    got = {(r.doc, k): r.s0[i] for r in features.scores([nb], counts, docs.select("doc")).collect() for i, k in enumerate(nb.labels)}
     tf = {"x": {"a": 3, "b": 1, "c": 1}, "y": {"b": 1, "c": 2}}
     prior = {"x": math.log(2 / 3), "y": math.log(1 / 3)}
     for d, text in ((1, "a b a"), (3, "b c c"), (4, "")):
@@ -203,6 +222,14 @@ def test_bayes_against_formula(spark):
     assert {r.doc: r.label for r in nb.predict(counts, docs.select("doc")).collect()} == {1: "x", 2: "x", 3: "y", 4: "x"}
 
 
+def test_term_arrays_are_the_counts(spark):
+    docs = spark.createDataFrame([(1, "a b a b a", 5), (2, "", 6), (3, None, 7), (4, "x", 8), (5, "c " * 300, 9)], "doc int, text string, k int")
+    got = {(r.doc, r.k): sorted(t.tf for t in r.terms) for r in features.term_arrays(docs, "doc", F.col("text"), ("k",)).collect()}
+    assert got == {(1, 5): [1, 1, 1, 2, 2, 2], (2, 6): [], (3, 7): [], (4, 8): [], (5, 9): [297, 298, 299]}
+    long = {r.doc: r.n for r in features.term_counts(docs, "doc", F.col("text")).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert long == {d: len(v) for (d, _), v in got.items() if v}
+
+
 def test_two_stage(spark):
     groups = spark.createDataFrame([("g",), ("h",), ("none",)], "group string")
     binary = spark.createDataFrame([("g", 0, 0.2), ("g", 1, 0.8), ("h", 0, 0.5), ("h", 1, 0.5)], "group string, label int, p double")

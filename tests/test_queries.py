@@ -46,10 +46,10 @@ def arguments(query, spark, monkeypatch, name):
     return e.value.args[0]
 
 
-@pytest.mark.parametrize("name", ["tfidf_rows_full", "bayes_labels_full", "two_stage_labels", "linear_labels", "neighbour_errors_full", "class_terms_full", "speaker_probabilities"])
+@pytest.mark.parametrize("name", ["tfidf_rows", "bayes_labels", "two_stage_labels", "linear_labels", "neighbour_errors", "speaker_probabilities"])
 def test_whole_vectoriser(spark, monkeypatch, name):
     query = next(m.QUERIES[name] for m in catalogue.MODULES if name in m.QUERIES)
-    assert arguments(query, spark, monkeypatch, "term_counts")["sizes"] == (2, 3, 4)
+    assert arguments(query, spark, monkeypatch, "term_arrays")["sizes"] == (2, 3, 4)
 
 
 def test_whole_linear_model(spark, monkeypatch):
