@@ -10,6 +10,7 @@ reaches the driver.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,11 +81,13 @@ def same_speaker_pairs(df: DataFrame, client: str = "client_id") -> DataFrame:
 def grouped_split(df: DataFrame, key: str, client: str, strata: dict[str, Column], shares: dict[str, float], seed: int = 7) -> DataFrame:
     """(key, split, component): every row of df in one of the splits, all rows of a speaker in the same.
 
-    shares gives each split's share; the first split takes what the others leave. Components go by their most frequent
-    stratum (ties: the lower one); in each stratum they are taken in hash order, and the running row count before a
-    component tells its split. A component with more rows than half of the smallest share of its stratum would
-    distort that split and goes to the first. A row without a speaker is a component of its own. Strata may be NULL."""
-    main, *rest = shares
+    Components go by their most frequent stratum (ties: the lower one). In each stratum, large components, with more rows
+    than half of the smallest split's share, are placed one by one, the largest first, each in the split that is furthest
+    behind its share (the largest quotient of wanted rows by rows so far and half of its own; ties: the split named first).
+    There are no more of them than 2 / the smallest share. The others are taken in hash order, and the running row count
+    before a component tells its split, by what the large ones have left to each. A row without a speaker is a component
+    of its own. Strata may be NULL."""
+    order = list(shares)
     names = list(strata)
     rows = df.select(F.col(key).alias("key"), F.col(client).alias("client_id"), *[c.alias(n) for n, c in strata.items()])
     ids = staged(speaker_components(df, client), "components")
@@ -96,12 +99,25 @@ def grouped_split(df: DataFrame, key: str, client: str, strata: dict[str, Column
     units = staged(units.select("unit", "n", F.concat_ws("\u0001", "stratum.*").alias("stratum"), uniform("unit", seed=seed).alias("u")), "units")
     total = units.groupBy("stratum").agg(F.sum("n").alias("total"))
     units = units.join(total, "stratum")
-    large = F.col("n") > F.greatest(F.lit(1.0), F.col("total") * (min(shares[r] for r in rest) / 2))
-    placed = running_before(units.where(~large), ["stratum"], "u", "unit", "n", "before")
-    middle = (F.col("before") + F.col("n") / 2) / F.col("total")
-    choice, upto = F.lit(main), sum(shares[r] for r in rest)
-    for r in reversed(rest):
-        choice = F.when(middle <= upto, r).otherwise(choice)
-        upto -= shares[r]
-    split = placed.select("unit", choice.alias("split")).unionByName(units.where(large).select("unit", F.lit(main).alias("split")))
+    is_large = F.col("n") > F.col("total") * (min(shares.values()) / 2)
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, have, out = float(pdf["total"].iloc[0]), dict.fromkeys(order, 0.0), []
+        for r in pdf.sort_values(["n", "u", "unit"], ascending=[False, True, True]).itertuples():
+            best = max(order, key=lambda x: (shares[x] * total / (have[x] + r.n / 2), -order.index(x)))
+            have[best] += r.n
+            out.append((r.unit, best, r.stratum, r.n))
+        return pd.DataFrame(out, columns=["unit", "split", "stratum", "n"])
+
+    large = staged(units.where(is_large).groupBy("stratum").applyInPandas(place, "unit string, split string, stratum string, n long"), "large-components")
+    taken = large.groupBy("stratum").agg(*[F.sum(F.when(F.col("split") == x, F.col("n")).otherwise(0)).alias(f"_t{i}") for i, x in enumerate(order)])
+    placed = running_before(units.where(~is_large), ["stratum"], "u", "unit", "n", "before").join(taken, "stratum", "left")
+    left = [F.greatest(F.col("total") * shares[x] - F.coalesce(f"_t{i}", F.lit(0)), F.lit(0.0)) for i, x in enumerate(order)]
+    small = F.col("total") - sum((F.coalesce(f"_t{i}", F.lit(0)) for i in range(len(order))), F.lit(0))
+    middle = (F.col("before") + F.col("n") / 2) / small * sum(left, F.lit(0.0))
+    choice, upto = F.lit(order[0]), sum(left[1:], F.lit(0.0))
+    for i in range(len(order) - 1, 0, -1):
+        choice = F.when(middle <= upto, order[i]).otherwise(choice)
+        upto = upto - left[i]
+    split = placed.select("unit", choice.alias("split")).unionByName(large.select("unit", "split"))
     return rows.join(split, "unit").select(F.col("key").alias(key), "split", F.col("unit").alias("component"))

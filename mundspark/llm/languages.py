@@ -1,6 +1,6 @@
 """Problem 10: the language of each document and of each part of a mixed one.
 
-Texts are cut into sentences, without mark-up, labels, phoneme strings, tables and quoted titles. For every character
+Texts are cut into sentences, without mark-up, labels, phonetic writing and quoted titles. For every character
 n-gram of a sentence a bit-sliced Bloom filter gives the set of languages that contain it: one byte a slot, one bit a
 language, the AND of the slots of HASHES hash functions. The n-grams of each language are counted (a popcount over the
 bytes), the count that the filter's false positives would give is taken off, and the language with the largest share of
@@ -40,16 +40,18 @@ FIT_DOCS = 800
 FILTER_BYTES, HASHES, SIZES = 1 << 20, 3, (3, 4, 5)
 #: Share of the largest relative frequency that an n-gram needs to belong to a language, and its least count.
 TYPICAL, LEAST = 0.2, 2
-#: Words of a sentence that may make its language one of the document's; smaller parts follow the others.
-SENTENCE_WORDS = 4
-#: Share of n-grams, and lead over the next language, of a sentence that may add a language to a document.
-SURE, LEAD = 0.6, 0.12
+#: Share of n-grams, and lead over the next language, of a sentence that may add a language to a document; and those of one
+#: of fewer than SHORT words, which has fewer n-grams to tell by and must end like a sentence. A single word follows the rest.
+SURE, LEAD, SHORT, SHORT_SURE, SHORT_LEAD = 0.6, 0.12, 4, 0.8, 0.4
 
-_TITLE = re.compile(r"«[^«»\n]{1,60}»|„[^„“”\n]{1,60}[“”]|“[^“”\n]{1,60}”|\"[^\"\n]{1,60}\"")
+_TITLE = re.compile(r"«[^«»]+»|„[^„“”]+[“”]|“[^“”]+”|\"[^\"]+\"")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _LABEL = re.compile(r"^\s*(?:[\[(<]?\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*[\])>]?)?\s*(?:[A-Za-z]+[_ -]?\d{1,4}\s*:)?")
 _PHONES = re.compile(r"/[^/\n]{3,}/")
-_END = re.compile(r"(?<=[.!?…])[\s\"'»”)]+|\n+|\t")
+_END = re.compile(r"(?<=[.!?…])[\s\"'»”)]+|\t|\|")
+_WHOLE = re.compile(r"[.!?…][\"'»”)\s]*$")
+#: Letters of phonetic writing: the blocks of phonetic letters, and length and stress marks (fixed values).
+_PHONETIC = re.compile("[\u0250-\u02af\u02c8\u02cc\u02d0\u02d1\u1d00-\u1dbf]")
 _WORD = re.compile(r"[^\W\d_]+")
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 
@@ -60,29 +62,38 @@ def language_of_label(lang: Column) -> Column:
     return F.try_element_at(known, F.replace(F.lower(F.trim(lang)), F.lit("_"), F.lit("-")))
 
 
-def _drop_title(m: re.Match) -> str:
-    """A quoted title (few words, no end of a sentence) says nothing of the language around it."""
-    return m[0] if len(_WORD.findall(m[0])) > SENTENCE_WORDS or re.search(r"[.!?…]", m[0]) else " "
+def _without_titles(line: str) -> str:
+    """A quotation that is no whole sentence, such as a title, says nothing of the language around it. It counts only where
+    there is nothing else."""
+    if not any(q in line for q in "«„“\""):
+        return line
+    rest = _TITLE.sub(lambda m: m[0] if re.search(r"[.!?…]", m[0]) else " ", line)
+    return rest if _WORD.search(rest) else line
 
 
-def sentences(text: str | None) -> list[tuple[str, int]]:
-    """(folded sentence, its number of words) of a text in order; parts without words are left out."""
+def is_phonetic(part: str) -> bool:
+    """Whether a text is phonetic writing: sounds apart, most of them of one or two letters, phonetic letters among them."""
+    if not _PHONETIC.search(part):
+        return False
+    sounds = part.split()
+    return 2 * sum(len(x) <= 2 for x in sounds) > len(sounds) and 10 * sum(_PHONETIC.search(x) is not None for x in sounds) >= len(sounds)
+
+
+def sentences(text: str | None) -> list[tuple[str, int, bool]]:
+    """(folded sentence, its number of words, whether it ends like one) of a text in order; cells of a table are sentences
+    each, and parts without words are left out."""
     if not text:
         return []
     t = text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    t = t.replace("\r", "\n")
-    t = _TITLE.sub(_drop_title, _TAG.sub("\n", t))
     out = []
-    for line in t.split("\n"):
-        if not line.strip() or line.lstrip().startswith("|"):
+    for line in _TAG.sub("\n", t.replace("\r", "\n")).split("\n"):
+        if not line or line.isspace():
             continue
-        line = _LABEL.sub("", _PHONES.sub(" ", line))
+        line = _LABEL.sub("", _PHONES.sub(" ", _without_titles(line)))
         for part in _END.split(line):
             words = _WORD.findall(part.lower())
-            letters = sum(map(len, words))
-            if not words or (len(words) >= 4 and letters < 2.2 * len(words)):  # a bare phoneme string
-                continue
-            out.append((" ".join(words), len(words)))
+            if words and not is_phonetic(part):
+                out.append((" ".join(words), len(words), _WHOLE.search(part) is not None))
     return out
 
 
@@ -168,7 +179,7 @@ def fit_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     quota = spark.createDataFrame([(x, FIT_DOCS) for x in LANGUAGES], "lang string, n int")
     rows = first_n(named, ["lang"], "u", "key", quota, "n").select("lang", "text").collect()  # bounded by FIT_DOCS
     number = {x: i for i, x in enumerate(LANGUAGES)}
-    pairs = [(s, number[r.lang]) for r in sorted(rows, key=lambda r: (r.lang, r.text)) for s, _ in sentences(r.text)]
+    pairs = [(s, number[r.lang]) for r in sorted(rows, key=lambda r: (r.lang, r.text)) for s, _, _ in sentences(r.text)]
     if not pairs:
         return LanguageFilter([np.zeros(0, np.uint64) for _ in LANGUAGES])
     for _ in range(2):
@@ -180,18 +191,19 @@ def fit_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     return LanguageFilter(_members(pairs, len(LANGUAGES)))
 
 
-def decide(parts: list[tuple[str, int]], shares: np.ndarray) -> tuple[list[tuple[int, float]], list[int]]:
+def decide(parts: list[tuple[str, int, bool]], shares: np.ndarray) -> tuple[list[tuple[int, float]], list[int]]:
     """([(language number, confidence)] of a document, language number of each of its parts)."""
     if not parts:
         return [], []
-    words = np.array([n for _, n in parts], dtype=float)
+    words = np.array([n for _, n, _ in parts], dtype=float)
     total = (shares * words[:, None]).sum(axis=0)
     if total.max() <= 0:
         return [], [-1] * len(parts)
     order = np.sort(shares, axis=1)
     lead = order[:, -1] - order[:, -2]
     best = shares.argmax(axis=1)
-    sure = (words >= SENTENCE_WORDS) & (order[:, -1] >= SURE) & (lead >= LEAD)
+    short = np.array([w for _, _, w in parts]) & (words > 1) & (order[:, -1] >= SHORT_SURE) & (lead >= SHORT_LEAD)
+    sure = np.where(words >= SHORT, (order[:, -1] >= SURE) & (lead >= LEAD), short)
     own = {int(b) for b in best[sure]} or {int(total.argmax())}
     each = []
     for k in range(len(parts)):
@@ -216,7 +228,7 @@ def _each(docs: DataFrame, key: str, text: str, lang: str, model: LanguageFilter
             for at in range(0, b.num_rows, 500):
                 c = b.slice(at, 500)
                 each = [sentences(t) for t in c.column(1).to_pylist()]
-                flat = [s for x in each for s, _ in x]
+                flat = [s for x in each for s, _, _ in x]
                 shares = known.value.shares(flat) if flat else np.zeros((0, len(LANGUAGES)))
                 rows, i = [], 0
                 for k, given, x in zip(c.column(0).to_pylist(), c.column(2).to_pylist(), each):
@@ -237,7 +249,7 @@ def _each(docs: DataFrame, key: str, text: str, lang: str, model: LanguageFilter
     return spread(narrow.where("text is not null")).mapInArrow(run, schema)
 
 
-def _stretches(key, parts: list[tuple[str, int]], of: list[int], shares: np.ndarray) -> list[tuple]:
+def _stretches(key, parts: list[tuple[str, int, bool]], of: list[int], shares: np.ndarray) -> list[tuple]:
     out, i = [], 0
     while i < len(parts):
         j = i
@@ -245,7 +257,7 @@ def _stretches(key, parts: list[tuple[str, int]], of: list[int], shares: np.ndar
             j += 1
         mine = shares[i : j + 1, of[i]].mean()
         others = np.delete(shares[i : j + 1], of[i], axis=1).max(axis=1).mean()
-        out.append((key, len(out), LANGUAGES[of[i]], round(float(mine / max(mine + others, 1e-9)), 4), " ".join(s for s, _ in parts[i : j + 1])))
+        out.append((key, len(out), LANGUAGES[of[i]], round(float(mine / max(mine + others, 1e-9)), 4), " ".join(s for s, _, _ in parts[i : j + 1])))
         i = j + 1
     return out
 

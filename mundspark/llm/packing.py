@@ -24,7 +24,6 @@ from mundspark.runtime import staged, width
 TERMS, SHARD = 1 << 18, 512
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
-_TRIES = 16  # neighbours tried as one of the last two items
 
 
 def terms(text: Column) -> Column:
@@ -88,18 +87,16 @@ def pack(lengths: list[int], docs: list[list[int]], capacity: int, idf: np.ndarr
                     held.append(i)
                     room -= lengths[i]
             while free and free[0][0] <= room:
-                # the one or two items that leave the least room; the first of two is a near neighbour or the largest
+                # the one or two items that leave the least room; the first of two is any near neighbour or the largest
                 at = bisect_right(free, (room, n)) - 1
-                best, pick = 0, ()
-                firsts = [i for i in near if unused[i] and lengths[i] <= room][:_TRIES]
-                for i in [*firsts, free[at][1]]:
-                    if lengths[i] > best:
-                        best, pick = lengths[i], (i,)
-                    j = bisect_right(free, (room - lengths[i], n)) - 1
-                    if j >= 0 and free[j][1] == i:
-                        j -= 1
-                    if j >= 0 and lengths[i] + free[j][0] > best:
-                        best, pick = lengths[i] + free[j][0], (i, free[j][1])
+                firsts = np.array([*(i for i in near if unused[i] and lengths[i] <= room), free[at][1]])
+                size, rest = np.array([x for x, _ in free]), np.array([i for _, i in free])
+                first = np.array([lengths[i] for i in firsts.tolist()])
+                j = np.searchsorted(size, room - first, side="right") - 1
+                j -= (j >= 0) & (rest[j] == firsts)
+                both = first + np.where(j >= 0, size[j], 0)
+                best = int(both.argmax())  # the best neighbour among equals
+                pick = (int(firsts[best]), int(rest[j[best]])) if j[best] >= 0 else (int(firsts[best]),)
                 if room > 2.5 * mean and len(pick) == 1:
                     pick = (free[at][1],)
                 for i in pick:

@@ -4,8 +4,9 @@ The records are counted in cells (category by every other margin). For each targ
 iterative proportional fitting to the wanted sizes of the categories and to the population's shares of the other
 margins, with no cell above its count. A record's chance is its cell's raked share; records are ordered within their
 category by weighted exponential keys, -ln(1 - u) / weight, u being a hash of the record's key, and the first n are
-drawn. n is the wanted size, raised to the category's minimum and bounded by what there is; the report tells what is
-missing. The cells, whose number is the product of the margins' different values, are the only thing gathered.
+drawn, n being the wanted size bounded by what there is. Categories that are then below their minimum are repaired: they
+are drawn on in the same order. The report tells what the drawn rows lack. The cells are the only thing gathered; in a
+margin all values but the MARGIN most frequent count as one, which bounds them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,28 @@ def category(label: str = "label_id", region: str = "dialect_region") -> Column:
 
 #: Least share of its count that a raked cell keeps.
 LEAST = 1e-12
+#: Values of a margin that are raked each on its own.
+MARGIN = 64
+#: What stands for the other values of a margin.
+OTHER = "\u0001"
+
+
+def frequent(cells: DataFrame, margin: str, size: str) -> list[str]:
+    """The MARGIN values of a margin with the largest sums of size, ties by value."""
+    n = cells.groupBy(margin).agg(F.sum(size).alias("_n")).orderBy(F.desc("_n"), margin).limit(MARGIN)
+    return [r[0] for r in n.collect()]
+
+
+def folded(margin: str, values: list[str]) -> Column:
+    """A margin with OTHER for all but some values."""
+    return F.when(F.col(margin).isin(values), F.col(margin)).otherwise(OTHER).alias(margin)
+
+
+def weighted_order(u: Column, weight: Column) -> Column:
+    """The weighted exponential key -ln(1 - u) / weight, mapped to [0, 1) in the same order. It is the key's logarithm that
+    is mapped, so keys of very small weights stay apart too."""
+    key = -F.log1p(-F.greatest(u, F.lit(2.0**-54))) / weight
+    return F.least(F.greatest((F.log(key) + 40) / 80, F.lit(0.0)), F.lit(1 - 1e-12))
 
 
 def rake(counts: np.ndarray, members: list[np.ndarray], targets: list[np.ndarray], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
@@ -68,14 +91,18 @@ class Sampler:
         cols = [F.coalesce(F.lower(F.trim(F.col(m))), F.lit("")).alias(f"_m{i}") for i, m in enumerate(margins)]
         self.names = [f"_m{i}" for i in range(len(margins))]
         self.rows = df.select(F.col(key).alias("key"), category.alias("label_id"), *cols).where("label_id is not null")
-        self.cells = staged(self.rows.groupBy("label_id", *self.names).agg(F.count(F.lit(1)).alias("n")), "cells")
+        cells = staged(self.rows.groupBy("label_id", *self.names).agg(F.count(F.lit(1)).alias("n")), "cells")
+        fold = [folded(m, frequent(cells, m, "n")) for m in self.names]
+        self.rows = self.rows.select("key", "label_id", *fold)
+        self.cells = staged(cells.select("label_id", *fold, "n").groupBy("label_id", *self.names).agg(F.sum("n").alias("n")), "cells")
         everything = self.cells.agg(F.sum("n")).first()[0] or 0
         have = self.cells.groupBy("label_id").agg(F.sum("n").alias("available"))
         q = targets.join(have, "label_id", "left").withColumn("all", F.lit(everything))
         wanted = F.col("target_share") * F.col("sample_share") * F.col("all")
         q = q.select("target_set", "label_id", "target_share", "min_rows", (F.col("sample_share") * F.col("all")).alias("size"), wanted.alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"))
-        n = F.least(F.greatest(F.round("wanted"), F.coalesce("min_rows", F.lit(0))), F.col("available")).cast("long")
-        self.quotas = staged(q.withColumn("n", n), "quotas")
+        n = F.least(F.round("wanted"), F.col("available")).cast("long")
+        least = F.least(F.greatest(F.round("wanted"), F.coalesce("min_rows", F.lit(0))), F.col("available")).cast("long")
+        self.quotas = staged(q.withColumn("n", n).withColumn("least", least), "quotas")
 
     def weights(self) -> DataFrame:
         """(target_set, label_id, margins, count, expected): raked size of every cell."""
@@ -98,8 +125,8 @@ class Sampler:
         c = population
         for i, m in enumerate(names):
             c = c.join(population.groupBy(m).agg(F.sum("n").alias(f"_p{i}")), m)
-        c = c.join(self.quotas.select("target_set", "label_id", F.col("n").alias("quota")), "label_id")
-        schema = "target_set string, label_id int, " + ", ".join(f"{m} string" for m in names) + ", n long, expected double"
+        c = c.join(self.quotas.select("target_set", "label_id", F.col("least").alias("quota")), "label_id")
+        schema = "target_set string, label_id int, " + "".join(f"{m} string, " for m in names) + "n long, expected double"
         return c.groupBy("target_set").applyInPandas(fit, schema)
 
     def draw(self) -> DataFrame:
@@ -111,20 +138,23 @@ class Sampler:
         w = w.join(mean, ["target_set", "label_id"]).where("expected > 0").select("target_set", "label_id", *self.names, (F.col("expected") / F.col("n")).alias("chance"), (F.col("expected") / F.col("n") / F.col("mean")).alias("ratio"))
         r = self.rows.join(staged(w, "chances"), ["label_id", *self.names])  # as many rows as cells: broadcast while small
         u = uniform("target_set", "key", seed=self.seed)
-        order = 1 - F.exp(F.log1p(-u) / F.col("ratio"))  # the exponential key, mapped to [0, 1) in the same order
-        r = r.withColumn("order", order)
-        picked = first_n(r, ["target_set", "label_id"], "order", "key", self.quotas.where("n > 0"), "n")
+        r = r.withColumn("order", weighted_order(u, F.col("ratio")))
+        groups = ["target_set", "label_id"]
+        lacking = self.quotas.where("least > n")
+        whole = first_n(r.join(lacking.select(*groups), groups, "left_anti"), groups, "order", "key", self.quotas.where("n > 0"), "n")
+        # a repaired category is drawn on: what it has already comes first in the same order
+        picked = whole.unionByName(first_n(r.join(lacking.select(*groups), groups, "left_semi"), groups, "order", "key", lacking, "least")) if not lacking.isEmpty() else whole
         return picked.select("target_set", F.col("key").alias(self.key), "label_id", (1 / F.col("chance")).alias("weight"))
 
     def report(self) -> DataFrame:
         """Per target set and category: wanted and drawn rows, the share reached, whether the category falls short of
-        its share or its minimum."""
+        its share (it is drawn whole and that is not enough) or its minimum."""
         drawn = self.draw().groupBy("target_set", "label_id").agg(F.count(F.lit(1)).alias("drawn"))
         j = self.quotas.join(drawn, ["target_set", "label_id"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         return j.select(
             "target_set", "label_id", "target_share", "min_rows", "wanted", "available", "drawn",
             F.when(F.col("size") > 0, F.col("drawn") / F.col("size")).alias("share"),
             (F.greatest(F.col("wanted"), F.coalesce("min_rows", F.lit(0))) - F.col("drawn")).alias("gap"),
-            (F.col("available") < F.col("wanted")).alias("short"),
+            ((F.col("drawn") == F.col("available")) & (F.col("drawn") < F.col("wanted"))).alias("short"),
             (F.col("drawn") < F.coalesce("min_rows", F.lit(0))).alias("below_minimum"),
         )

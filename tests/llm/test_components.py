@@ -45,3 +45,13 @@ def test_speakers_and_splits(spark):
     share = {x: sum(v[0] == x for v in out.values()) / len(rows) for x in ("train", "valid", "test")}
     assert abs(share["valid"] - 0.1) < 0.02 and abs(share["test"] - 0.1) < 0.02
     assert grouped_split(df.limit(0), "id", "client_id", {"set": F.col("set")}, {"train": 0.8, "valid": 0.2}).count() == 0
+
+
+def test_small_strata_are_split_fairly(spark):
+    """18 records of 6 speakers: each split has some; and a speaker with a third of a stratum goes to training."""
+    rows = [(i, f"{i // 3:016x}", "s") for i in range(18)] + [(100 + i, f"{100 + (i // 2 if i >= 100 else 0):016x}", "big") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, client_id string, set string")
+    out = {r.id: r.split for r in grouped_split(df, "id", "client_id", {"set": F.col("set")}, {"train": 0.8, "valid": 0.1, "test": 0.1}).collect()}
+    count = lambda ids: [sum(out[i] == x for i in ids) for x in ("train", "valid", "test")]
+    assert count(range(18)) == [12, 3, 3]
+    assert out[100] == "train" and all(abs(n - w) <= 2 for n, w in zip(count(range(100, 400)), (240, 30, 30)))

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mundspark.llm.mixing import Mixer
-from mundspark.llm.sampling import Sampler, category, rake
+from mundspark.llm import mixing, sampling
+from mundspark.llm.sampling import Sampler, category, rake, weighted_order
 
 
 def test_rake():
@@ -89,3 +90,37 @@ def test_mixer_repeats_small_sources(spark, repeat):
     assert (r.short, r.most_copies) == ((True, 1) if repeat == 1 else (False, 3))
     if repeat == 3:
         assert abs(r.actual / r.wanted - 1) < 0.1
+
+
+def test_short_comes_from_what_is_drawn(spark, monkeypatch):
+    """A draw that takes nothing changes which sources and categories fall short."""
+    df = spark.createDataFrame([(i, "wort " * 10, "small" if i < 10 else "rest", "de") for i in range(100)], "doc_id long, text string, source string, lang string")
+    t = spark.createDataFrame([("m", 0.5, "small", 0.9, 1), ("m", 0.5, "rest", 0.1, 1)], "mix_name string, size_share double, source string, weight double, max_repeat int")
+    m = Mixer(df, t, "doc_id", "text", "source", F.col("lang"), F.lit(""))
+    assert {r.source: r.short for r in m.report().collect()} == {"small": True, "rest": False}
+    drawn = m._drawn()
+    monkeypatch.setattr(m, "_drawn", lambda: drawn.where("source <> 'small' or key % 2 = 0" if "key" in drawn.columns else "source <> 'small' or doc_id % 2 = 0"))
+    assert {r.source: r.short for r in m.report().collect()} == {"small": False, "rest": False}
+    rows = spark.createDataFrame([(i, i % 2, None) for i in range(100)], "id long, label_id int, dialect_region string")
+    q = spark.createDataFrame([("a", 1.0, 0, 0.8, 0)], "target_set string, sample_share double, label_id int, target_share double, min_rows int")
+    s = Sampler(rows, q, "id", category(), [])
+    assert s.report().first().short
+    drawn = s.draw()
+    monkeypatch.setattr(s, "draw", lambda: drawn.where("id > 50"))
+    assert not s.report().first().short
+
+
+def test_keys_of_small_weights_stay_apart(spark):
+    u = spark.range(2000).select((F.col("id") / 2000).alias("u"))
+    for w in (1e-9, 0.01, 1.0, 50.0):
+        keys = [r[0] for r in u.select("u", weighted_order(F.col("u"), F.lit(w)).alias("k")).orderBy("u").select("k").collect()]
+        assert all(0 <= a < b < 1 for a, b in zip(keys[1:], keys[2:]))
+
+
+def test_rare_margin_values_are_raked_together(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MARGIN", 3)
+    rows = spark.createDataFrame([(i, i % 2, None, f"d{i % 50}") for i in range(1000)], "id long, label_id int, dialect_region string, dataset string")
+    q = spark.createDataFrame([("a", 0.2, x, 0.5, 0) for x in (0, 1)], "target_set string, sample_share double, label_id int, target_share double, min_rows int")
+    s = Sampler(rows, q, "id", category(), ["dataset"])
+    assert s.cells.count() <= 8 and s.draw().count() == 200
+    assert mixing.folded is sampling.folded

@@ -2,6 +2,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,19 @@ def test_filter_counts_false_positives():
 def test_labels(spark):
     d = spark.createDataFrame([(x,) for x in ("DE", "de_CH", " Swiss German ", "français", "mul", "es", None, "")], "v string")
     assert [r[0] for r in d.select(L.language_of_label(F.col("v"))).collect()] == ["de", "de", "gsw", "fr", None, None, None, None]
+
+
+def test_no_sentence_is_lost():
+    """Short words, tables and long titles: what is left out is phonetic writing and quotations beside other words."""
+    said = lambda t: [s for s, _, _ in L.sentences(t)]
+    assert said("I am at it. We go to it.") == ["i am at it", "we go to it"] and said("Il a vu un os.") == ["il a vu un os"]
+    assert said("| Die Zahlen | sind gut |") == ["die zahlen", "sind gut"]
+    assert said("d ə ʁ f ɛ h ʁ m a n n ʁ aɪ n ɪ ɡ t") == [] and said("/ d ɪ ə /") == []
+    assert said("Wir lasen «The Long Way to a Small and Very Angry Planet of the Far and Distant North» gern.") == ["wir lasen gern"]
+    assert said("«ohne Ende und Punkt»") == ["ohne ende und punkt"] and said("Er sagt: «Wir kommen.»") == ["er sagt wir kommen"]
+
+
+def test_short_sentences_may_add_a_language():
+    shares = np.array([[0.9, 0.1, 0, 0, 0], [0, 0, 0.95, 0.1, 0], [0, 0.3, 0.5, 0, 0]])
+    assert [x for x, _ in L.decide([("a b c d", 4, True), ("merci beaucoup", 2, True), ("e f", 2, True)], shares)[0]] == [0, 2]
+    assert [x for x, _ in L.decide([("a b c d", 4, True), ("merci beaucoup", 2, False), ("e f", 2, True)], shares)[0]] == [0]
