@@ -10,7 +10,7 @@ from mundspark.llm.languages import document_languages, label_faults, mixed_part
 from mundspark.llm.mixing import Mixer, mixer
 from mundspark.llm.packing import containers, fill_report
 from mundspark.operators.intervals import to_ms
-from mundspark.runtime import table
+from mundspark.runtime import staged, table
 
 #: Milliseconds, and phoneme tokens, of a container.
 SECONDS_MS, PHONES = 30_000, 512
@@ -81,9 +81,41 @@ def p10_parts(spark: SparkSession, sf: str) -> DataFrame:
     return mixed_parts(table(spark, sf, "documents"))
 
 
+def p4_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of p4_containers: items, those placed, their length, items lost or longer or shorter than before, containers filled
+    beyond their size, pieces of items that fit whole, and overlapping pieces."""
+    t = table(spark, sf, "merged_train").select(F.col("utt_id").alias("id"), to_ms(F.col("duration")).alias("ms"))
+    placed = staged(_speech(spark, sf), "placed")
+    own = placed.groupBy(F.col("utt_id").alias("id")).agg(F.sum("length").alias("length"), F.count("container").alias("pieces"))
+    j = t.join(own, "id", "left")
+    usable, whole = F.col("ms") >= 1, F.col("ms") <= SECONDS_MS
+    items = j.agg(
+        F.count(F.lit(1)).alias("items"), F.count_if(usable).alias("placed"), F.sum(F.when(usable, F.col("ms"))).alias("length"), F.count_if(usable & (F.coalesce("length", F.lit(0)) != F.col("ms"))).alias("changed"),
+        F.count_if(~F.coalesce(usable, F.lit(False)) & (F.coalesce("pieces", F.lit(0)) > 0)).alias("unusable_placed"), F.count_if(usable & whole & (F.col("pieces") != 1)).alias("cut"),
+    )
+    boxes = placed.where("container is not null").groupBy("container").agg(F.sum("length").alias("used"), F.max(F.col("at") + F.col("length")).alias("end"))
+    return items.join(boxes.agg(F.count_if((F.col("used") > SECONDS_MS) | (F.col("end") != F.col("used"))).alias("overfull")))  # one row each
+
+
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of p9_mix, for each mix: listed sources, documents used too often or of no listed source, and sources off their
+    tokens by more than a document, but for those that cannot reach them."""
+    m = _mixer(spark, sf)
+    targets = table(spark, sf, "mix_targets").groupBy("mix_name", "source").agg(F.max("max_repeat").alias("most"))
+    used = m.copies().join(targets, ["mix_name", "source"], "left")
+    wrong = used.groupBy("mix_name").agg(F.count_if((F.col("copies") > F.col("most")) | F.col("most").isNull()).alias("misused"), F.max("n_tokens").alias("_longest"))
+    r = m.report().join(wrong, "mix_name", "left")
+    off = ~F.col("short") & (F.abs(F.col("actual") - F.col("wanted")) > F.col("_longest"))
+    return r.groupBy("mix_name").agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.max("misused"), F.lit(0)).alias("misused"), F.count_if(off).alias("off"))
+
+
 QUERIES = {
-    "p4_containers": p4_containers, "p4_fill": p4_fill, "p4_phonemes": p4_phonemes,
-    "p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p4_containers": p4_containers, "p4_fill": p4_fill, "p4_phonemes": p4_phonemes, "p4_checks": p4_checks,
+    "p9_found": p9_found, "p9_mix": p9_mix, "p9_report": p9_report, "p9_checks": p9_checks,
     "p10_found": p10_found, "p10_languages": p10_languages, "p10_parts": p10_parts,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_checks": """select count(*) as items, count(*) filter (ms >= 1) as placed, sum(ms) filter (ms >= 1)::bigint as length, 0::bigint as changed, 0::bigint as unusable_placed, 0::bigint as cut, 0::bigint as overfull
+from (select case when not isnan(duration) and abs(duration) <= 9e12 then cast(round(duration * 1000) as bigint) end as ms from merged_train)""",
+    "p9_checks": "select mix_name, count(distinct source) as sources, 0::bigint as misused, 0::bigint as off from mix_targets group by all",
+}

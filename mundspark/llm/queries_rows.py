@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mundspark.functions.keys import speaker_key
 from mundspark.functions.regions import REGIONS
 from mundspark.llm.components import grouped_split, same_speaker_pairs
 from mundspark.llm.sampling import Sampler, category
@@ -58,7 +59,21 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return _sampler(spark, sf).report()
 
 
-QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_report": p2_report, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report}
+def p2_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of p2_split: records, those without a split, given twice or in no split that was asked for, speakers in more than one
+    split, and whether every split is within a hundredth of its share."""
+    s = _split(spark, sf)
+    own = speaker_key(F.col("client_id")).alias("speaker")
+    t = table(spark, sf, "merged_train").select("utt_id", own).join(s, "utt_id", "left")
+    each = t.groupBy("utt_id", "speaker").agg(F.count("split").alias("n"), F.min("split").alias("split"))
+    divided = each.groupBy("speaker").agg(F.count_distinct("split").alias("n")).where("speaker is not null and n > 1").agg(F.count(F.lit(1)).alias("divided_speakers"))
+    fair = [F.abs(F.count_if(F.col("split") == x) / F.count(F.lit(1)) - share) < 0.01 for x, share in SHARES.items()]
+    good = fair[0] & fair[1] & fair[2]
+    sums = each.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("n") == 0).alias("lost"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(~F.col("split").isin(*SHARES)).alias("elsewhere"), good.alias("fair"))
+    return sums.join(divided)  # one row each
+
+
+QUERIES = {"p2_found": p2_found, "p2_split": p2_split, "p2_report": p2_report, "p2_checks": p2_checks, "p5_found": p5_found, "p5_sample": p5_sample, "p5_report": p5_report}
 
 _CATEGORY = "coalesce(label_id, case " + " ".join(
     f"when regexp_replace(lower(strip_accents(dialect_region)), '[^a-z]', '', 'g') in ({names}) then {label}"
@@ -70,6 +85,14 @@ _CATEGORY = "coalesce(label_id, case " + " ".join(
 assert len(REGIONS) == 9
 
 SQL = {
+    "p2_checks": "select count(*) as records, 0::bigint as lost, 0::bigint as repeated, 0::bigint as elsewhere, true as fair, 0::bigint as divided_speakers from merged_train",
+    "p5_report": f"""
+with r as (select {_CATEGORY} as label_id from merged_train), n as (select count(*) as n from r where label_id is not null),
+h as (select label_id, count(*) as available from r where label_id is not null group by all),
+c as (select target_set, coalesce(t.label_id, x.label) as label_id, target_share, min_rows, sample_share, n, target_share * sample_share * n as wanted from (select *, {_CATEGORY} as label from sample_targets) t
+  join (select target_set as s, dialect_region as d, label_id as l, {_CATEGORY} as label from sample_targets) x on x.s = t.target_set and x.l is not distinct from t.label_id and x.d is not distinct from t.dialect_region cross join n),
+q as (select *, coalesce(available, 0) as have, least(greatest(round(wanted), coalesce(min_rows, 0)), coalesce(available, 0))::bigint as drawn from c left join h using (label_id))
+select target_set, label_id, target_share, min_rows, wanted, have as available, drawn, drawn / (sample_share * n) as share, greatest(wanted, coalesce(min_rows, 0)) - drawn as gap, have < wanted as short, drawn < coalesce(min_rows, 0) as below_minimum from q""",
     "p2_found": """
 with c as (select distinct client_id, regexp_replace(lower(regexp_replace(client_id, '^.*[/:_]', '')), '[^0-9a-f]', '', 'g') as k
            from merged_train where trim(client_id) <> '')
