@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Neighbouring regions by label id (fixed values).
@@ -66,3 +66,10 @@ def best_per(df: DataFrame, group: str, score: str, order: str, columns: list[st
     s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
     row = F.struct(*columns)
     return df.groupBy(group).agg(F.min_by(row, F.struct(s.isNull(), -s, order)).alias("r")).select(group, *[f"r.{c}" for c in columns if c != group])
+
+
+def model_summary(df: DataFrame, model: str, dialect: Column, *scores: str) -> DataFrame:
+    """(model, n, mean of each score, dialect_pct): per model the means of its scores, NULL and NaN left out, and the percentage
+    of rows for which dialect holds."""
+    mean = [F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in scores]
+    return df.groupBy(model).agg(F.count(F.lit(1)).alias("n"), *mean, (100 * F.count_if(dialect) / F.count(F.lit(1))).alias("dialect_pct"))

@@ -102,6 +102,28 @@ def membership(base: DataFrame, others: dict[str, DataFrame], key: str) -> DataF
     return base
 
 
+def line_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, digest): the SHA-256 of all rows as tab-joined lines in sorted order, each with a line end; NULL is the empty
+    text. The digest is one sequential sum by its definition: rows are sorted on the executors and pass through the driver
+    one partition at a time, so it suits data sets of evaluation size; see fingerprint for a table of any size."""
+    import hashlib
+
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    digest, n = hashlib.sha256(), 0
+    for r in df.select(line.alias("l")).orderBy("l").toLocalIterator():
+        digest.update(r[0].encode() + b"\n")
+        n += 1
+    return df.sparkSession.createDataFrame([(n, digest.hexdigest())], "rows long, digest string")
+
+
+def reconcile(source: DataFrame, merged: DataFrame, key: str, group: str) -> DataFrame:
+    """(group, source, kept, dropped): different keys of source per group, those that merged has too, and the rest. A key in
+    several groups counts in each; NULL keys are left out, a NULL group is a group."""
+    have = merged.select(F.col(key).alias("_k")).where("_k is not null").distinct().withColumn("_in", F.lit(True))
+    s = source.select(group, F.col(key).alias("_k")).where("_k is not null").distinct().join(have, "_k", "left")
+    return s.groupBy(group).agg(F.count(F.lit(1)).alias("source"), F.count("_in").alias("kept"), F.count_if(F.col("_in").isNull()).alias("dropped"))
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, digest): an order-free fingerprint. The SHA-256 of each row's tab-joined columns is cut to four 60-bit
     numbers whose sums, modulo 2^60, are hashed; partial sums travel, not rows."""

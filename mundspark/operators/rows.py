@@ -103,3 +103,12 @@ def fill_quotas(pools: list[tuple[str, DataFrame, DataFrame | None, int]], key:
 def unless_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The rows whose key is not among those already processed; NULL keys stay."""
     return df.join(done.select(key).distinct(), key, "left_anti")
+
+
+def deal_longest_first(df: DataFrame, size: str, key: str, workers: int) -> DataFrame:
+    """df with a column worker: rows dealt to the workers in turn, the largest first (NULL sizes last), ties by key. Places
+    are found by counting, so no task sorts the whole table."""
+    top = df.agg(F.max(size)).first()[0]
+    share = F.least(F.greatest(F.coalesce(1 - F.col(size) / F.lit(float(top or 1) + 1.0), F.lit(1.0)), F.lit(0.0)), F.lit(1 - 1e-12))
+    d = df.withColumn("_u", share).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1)).withColumn("_t", F.struct(-F.col(size), F.col(key)))
+    return running_before(d, ["_all"], "_u", "_t", "_one", "_place").select(*df.columns, F.pmod(F.col("_place"), F.lit(workers)).cast("int").alias("worker"))

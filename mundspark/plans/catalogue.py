@@ -1,5 +1,5 @@
 """The modules that hold the core's queries."""
 
-from mundspark.plans import audits, chunking, problems, speech, tables
+from mundspark.plans import audits, chunking, files, problems, speech, tables
 
-MODULES = (problems, tables, chunking, speech, audits)
+MODULES = (problems, tables, chunking, speech, audits, files)

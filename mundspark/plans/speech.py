@@ -357,10 +357,13 @@ def error_rates(spark, sf):
 
 @query()
 def corpus_scores(spark, sf):
-    """Corpus error rates, BLEU and chrF per dataset."""
-    p = staged(_pairs(spark, sf), "pairs")
-    rates = errors.corpus_rates(errors.error_rates(p, "reference", "hypothesis"), "dataset")
-    return rates.join(errors.bleu(p, "reference", "hypothesis", "dataset"), "dataset").join(errors.chrf(p, "reference", "hypothesis", "dataset"), "dataset")
+    """Corpus error rates, BLEU, chrF and TER per dataset and of all pairs."""
+    p = _pairs(spark, sf)
+    p = staged(p.unionByName(p.withColumn("dataset", F.lit("all"))), "pairs")
+    out = errors.corpus_rates(errors.error_rates(p, "reference", "hypothesis"), "dataset")
+    for score in (errors.bleu, errors.chrf, errors.translation_edit_rate):
+        out = out.join(score(p, "reference", "hypothesis", "dataset"), "dataset", "left")
+    return out
 
 
 @query("""with c as (select label, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from embeddings), m as (select label, i, avg(x) as m from c group by all), cen as (select label, list(m order by i) as cen from m group by all)

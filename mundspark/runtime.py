@@ -50,14 +50,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clear deletes."""
+    path = f"{checkpoint_dir(spark)}/mundspark/{name}-{uuid.uuid4().hex}"
+    _staged(spark).append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back: its lineage ends there, and a lost executor costs
     no recomputation before it. Column pruning and filters work on what is read back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/mundspark/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    _staged(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

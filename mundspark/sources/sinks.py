@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite") -> None:
-    """A table with header; NULL as a blank field, quotes doubled. Arrays are joined by |."""
+    """A table with header; NULL as a blank field, quotes doubled, spaces at the ends of texts kept. Arrays are joined by |."""
     flat = [F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode(mode).csv(path, sep=sep, header=True, quote='"', escape='"', emptyValue="")
+    df.select(*flat).write.mode(mode).csv(path, sep=sep, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
