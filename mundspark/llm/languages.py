@@ -45,6 +45,7 @@ TYPICAL, LEAST = 0.2, 2
 SURE, LEAD, SHORT, SHORT_SURE, SHORT_LEAD = 0.6, 0.12, 4, 0.8, 0.4
 
 _TITLE = re.compile(r"«[^«»]+»|„[^„“”]+[“”]|“[^“”]+”|\"[^\"]+\"")
+_QUOTE = re.compile(r"[«„“\"]")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _LABEL = re.compile(r"^\s*(?:[\[(<]?\s*\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*[\])>]?)?\s*(?:[A-Za-z]+[_ -]?\d{1,4}\s*:)?")
 _PHONES = re.compile(r"/[^/\n]{3,}/")
@@ -65,7 +66,7 @@ def language_of_label(lang: Column) -> Column:
 def _without_titles(line: str) -> str:
     """A quotation that is no whole sentence, such as a title, says nothing of the language around it. It counts only where
     there is nothing else."""
-    if not any(q in line for q in "«„“\""):
+    if not _QUOTE.search(line):
         return line
     rest = _TITLE.sub(lambda m: m[0] if re.search(r"[.!?…]", m[0]) else " ", line)
     return rest if _WORD.search(rest) else line
@@ -80,7 +81,7 @@ def is_phonetic(part: str) -> bool:
 
 
 def sentences(text: str | None) -> list[tuple[str, int, bool]]:
-    """(folded sentence, its number of words, whether it ends like one) of a text in order; cells of a table are sentences
+    """(folded sentence, its number of words, whether it is long or ends like one) of a text in order; cells of a table are sentences
     each, and parts without words are left out."""
     if not text:
         return []
@@ -89,11 +90,13 @@ def sentences(text: str | None) -> list[tuple[str, int, bool]]:
     for line in _TAG.sub("\n", t.replace("\r", "\n")).split("\n"):
         if not line or line.isspace():
             continue
-        line = _LABEL.sub("", _PHONES.sub(" ", _without_titles(line)))
+        line = _without_titles(line)
+        line = _LABEL.sub("", _PHONES.sub(" ", line) if "/" in line else line)
         for part in _END.split(line):
             words = _WORD.findall(part.lower())
-            if words and not is_phonetic(part):
-                out.append((" ".join(words), len(words), _WHOLE.search(part) is not None))
+            if words and (part.isascii() or not is_phonetic(part)):
+                # a sentence long enough to tell by need not end like one
+                out.append((" ".join(words), len(words), len(words) >= SHORT or _WHOLE.search(part) is not None))
     return out
 
 
