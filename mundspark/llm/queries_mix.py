@@ -94,7 +94,9 @@ def p4_checks(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(~F.coalesce(usable, F.lit(False)) & (F.coalesce("pieces", F.lit(0)) > 0)).alias("unusable_placed"), F.count_if(usable & whole & (F.col("pieces") != 1)).alias("cut"),
     )
     boxes = placed.where("container is not null").groupBy("container").agg(F.sum("length").alias("used"), F.max(F.col("at") + F.col("length")).alias("end"))
-    return items.join(boxes.agg(F.count_if((F.col("used") > SECONDS_MS) | (F.col("end") != F.col("used"))).alias("overfull")))  # one row each
+    full = boxes.agg(F.count_if((F.col("used") > SECONDS_MS) | (F.col("end") != F.col("used"))).alias("overfull"))
+    both = items.unionByName(full, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
