@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mundspark.operators import linear
 from mundspark.runtime import staged
 
 #: Smoothing of naive Bayes, sizes of n-grams, least document frequency.
@@ -175,32 +176,18 @@ def two_stage(groups: DataFrame, binary: DataFrame, fine: DataFrame, german: int
     return j.select("group", is_german.cast("int").alias("is_german"), pg.alias("prob_german"), F.when(is_german, german).otherwise(F.col("f.label")).alias("label_id"), F.when(is_german, pg).otherwise(F.col("f.p")).alias("confidence"))
 
 
-def linear_model(weights: DataFrame, labels: DataFrame, features: int = 1 << 18, reg: float = 1e-4, iterations: int = 50):
-    """A multinomial logistic regression on hashed TF-IDF rows (see tfidf) with balanced class weights; returns the fitted
-    pipeline stage and the table (doc, label, features, w) it was fitted on."""
-    from pyspark.ml.classification import LogisticRegression
+def linear_model(rows: DataFrame, counts: dict, features: int = 1 << 18, reg: float = 1e-4, iterations: int = 50) -> linear.LinearModel:
+    """A multinomial logistic regression on hashed_rows, staged, with class weights balanced by counts, the documents of
+    each label (see label_counts)."""
+    return linear.fit(rows, counts, features, reg, iterations)
 
-    rows = hashed_rows(weights, features).join(labels.where("label is not null"), "doc")
-    n = labels.where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    n = n.withColumn("w", F.sum("_n").over(Window.partitionBy()) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_n"))).drop("_n")
-    rows = rows.join(n, "label")
-    model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=iterations, regParam=reg)
-    return model.fit(rows), rows
 
-
-def hashed_rows(weights: DataFrame, features: int = 1 << 18) -> DataFrame:
-    """(doc, features): sparse vectors of hashed terms, colliding terms summed."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    def vector(x):
-        slots: dict[int, float] = {}
-        for p in x:
-            slots[p["i"]] = slots.get(p["i"], 0.0) + p["v"]
-        return SparseVector(features, slots)
-
-    packed = weights.select("doc", F.transform("terms", lambda t: F.struct(F.pmod(F.xxhash64(t["term"]), F.lit(features)).cast("int").alias("i"), t["weight"].alias("v"))).alias("x"))
-    # vectors have no column expression; the rows travel in Arrow batches
-    return packed.select("doc", F.udf(vector, VectorUDT(), useArrow=True)("x").alias("features"))
+def hashed_rows(counts: DataFrame, vocab: DataFrame, docs: int, labels: DataFrame, features: int = 1 << 18) -> DataFrame:
+    """The TF-IDF rows (see tfidf) of hashed terms, colliding terms summed, packed into blobs of numbers. labels has (doc,
+    label, held); rows to fit and rows held back are in different blobs, by held. Only slots and counts are shuffled."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(features)).cast("int")
+    w = counts.join(vocab.select("term", "df"), "term").select("doc", F.struct(slot.alias("slot"), F.col("tf").cast("int").alias("tf"), F.col("df").cast("int").alias("df")).alias("t"))
+    return linear.pack(w.groupBy("doc").agg(F.collect_list("t").alias("terms")).join(labels, "doc"), docs, features)
 
 
 def per_dimension(df: DataFrame, vector: str) -> DataFrame:

@@ -149,11 +149,11 @@ def tfidf_rows(spark, sf):
     return w.select("doc", F.size("w").cast("long").alias("terms"), F.round(F.array_max("w"), 6).alias("largest"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-def _arrays(spark, sf, labelled: bool = False, lower: bool = True) -> tuple[DataFrame, DataFrame]:
+def _arrays(spark, sf, labelled: bool = False) -> tuple[DataFrame, DataFrame]:
     """The clips, and their n-grams."""
     clips = _clips(spark, sf)
     clips = staged(clips.where("label is not null") if labelled else clips, "clips")
-    return clips, staged(features.term_arrays(clips, "doc", F.col("phoneme"), ("label",), lower=lower, drop=_DROP), "terms")
+    return clips, staged(features.term_arrays(clips, "doc", F.col("phoneme"), ("label",), drop=_DROP), "terms")
 
 
 def _weights(arrays: DataFrame, docs: int) -> DataFrame:
@@ -243,12 +243,13 @@ def _owners(spark, sf) -> DataFrame:
 @query()
 def linear_labels(spark, sf):
     """Accuracy of a balanced logistic regression on hashed TF-IDF rows of held-out clips."""
-    clips, arrays = _arrays(spark, sf, True, lower=False)
-    w = staged(_weights(arrays, clips.count()), "weights")
-    labels = clips.select("doc", F.col("label").cast("double").alias("label"))
-    model, _ = features.linear_model(w.where(~_held()), labels.where(~_held()))
-    rows = features.hashed_rows(w.where(_held())).join(labels, "doc")
-    return metrics.summary(metrics.confusion(model.transform(rows), "label", "prediction"))
+    # numbers stand for the names of clips where terms are shuffled
+    clips = staged(_clips(spark, sf).where("label is not null").select(F.monotonically_increasing_id().alias("doc"), "label", "phoneme", _held().alias("held")), "clips")
+    terms = features.in_rows(staged(features.term_arrays(clips, "doc", F.col("phoneme"), lower=False, drop=_DROP), "terms"), "doc")
+    vocabulary = staged(features.vocabulary(terms), "vocabulary")
+    rows = staged(features.hashed_rows(terms, vocabulary, clips.count(), clips.select("doc", "label", "held")), "rows")
+    model = features.linear_model(rows.where("not held"), features.label_counts(clips.where("not held")))
+    return metrics.summary(metrics.confusion(model.predict(rows.where("held")), "label", "prediction"))
 
 
 def _canton_label():
